@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import make_importable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return make_importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +25,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_sequences(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1))
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op8_packing": op8_packing}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    found = substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
+
+
+QUERIES = {"op5_token_files": op5_token_files, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op10_simhash_dedup": op10_simhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
