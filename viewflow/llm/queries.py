@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return make_importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import columns, quality_rules
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules(docs, _table(spark, sf_dir, "labels")).select(*columns())
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import document_digests, token_folder, write_token_files
 
@@ -32,11 +39,24 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_components
 
     return simhash_components(_table(spark, sf_dir, "documents"), shingle_words=3, max_bits=2)
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op7_substring_dedup": op7_substring_dedup, "op8_packing": op8_packing, "op10_simhash_dedup": op10_simhash_dedup}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_token_files": op5_token_files,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_packing": op8_packing,
+    "op9_license_scan": op9_license_scan,
+    "op10_simhash_dedup": op10_simhash_dedup,
+}
 ORACLE_SQL: dict[str, str] = {}

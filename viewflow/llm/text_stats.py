@@ -69,8 +69,11 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "line_words": F.log1p(F.col("n_words") / count),
         "digits": F.col("_vf_digits") / chars,
     }
-    out = out.withColumns({f"f_{k}": features[k].cast("double") for k in FEATURES})
-    return out.drop("_vf_capitals", "_vf_marks", "_vf_digits", "_vf_distinct", "_vf_line_count")
+    found = F.struct(*COUNTS, *[features[k].cast("double").alias(f"f_{k}") for k in FEATURES])
+    # a one-element explode: no filter on the statistics moves below it, where it would inline every array above
+    kept = [c for c in docs.columns if c not in COUNTS and c not in {f"f_{x}" for x in FEATURES}]
+    out = out.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(found)).alias("_vf"))
+    return out.select(*[F.col(f"`{c}`") for c in kept], "_vf.*")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> DataFrame:
