@@ -19,6 +19,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, _table(spark, sf_dir, "labels")).select(*columns())
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import document_token_counts
+    from .token_files import token_folder
+
+    docs = _table(spark, sf_dir, "documents")
+    return document_token_counts(docs, token_folder(docs), "word_bpe_49k.json", 49407)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import document_digests, token_folder, write_token_files
 
@@ -32,6 +40,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack_sequences(_table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality_classifier
+
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), cut=0.7)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -53,7 +67,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
