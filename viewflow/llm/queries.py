@@ -19,6 +19,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, _table(spark, sf_dir, "labels")).select(*columns())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import fit_model, score_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_model(docs))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import document_token_counts
     from .token_files import token_folder
@@ -67,6 +80,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,

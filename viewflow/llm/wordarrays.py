@@ -16,6 +16,8 @@ U = np.uint64
 _BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits separates words.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -72,11 +74,11 @@ def slices(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int
 class Words:
     """The words of some rows: starts and ends in ``data``, and ``first``, the rows' offsets among the words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, spaces: np.ndarray = _SPACE):
         self.data = _LOWER[data] if lower else data
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~spaces[data]
         before, after = inside[:-2].copy(), inside[2:].copy()
         cut = offsets[(offsets > 0) & (offsets < n)]
         before[cut] = False
@@ -113,8 +115,7 @@ def inside_rows(first: np.ndarray, k: int) -> np.ndarray:
     for back in range(1, k):  # a start less than k words before a row's end
         at = first[1:] - back
         good[at[(at >= 0) & (at < len(good))]] = False
-    empty_safe = good
-    return empty_safe
+    return good
 
 
 def row_numbers(first: np.ndarray) -> np.ndarray:
