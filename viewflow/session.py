@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def make_importable(spark: SparkSession) -> SparkSession:
@@ -14,3 +15,15 @@ def make_importable(spark: SparkSession) -> SparkSession:
     if root not in have:
         env["PYTHONPATH"] = ":".join([root, *have])
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The relation's rows in the folder that ``spark.checkpoint.dir`` names: lineage ends there, and what depended on
+    chance or on partitions stays as it is. A local session without the setting gets a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="viewflow-"))
+    return df.checkpoint()
