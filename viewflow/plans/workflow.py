@@ -77,7 +77,7 @@ class Workflow:
         uses = Counter(id(p) for v in self._walk(top) for p in v.parents() if not (self.name(v) in self._reuse and v is not top))
         held = []
         for v in self._walk(top):
-            own = self.name(v)
+            own = name if v is top else self.name(v)
             if own in self._reuse:
                 made[id(v)] = self._stored(own, v)
                 continue
@@ -140,7 +140,7 @@ class Workflow:
         top, out = self.definition(name), []
         uses = Counter(id(p) for v in self._walk(top) for p in v.parents())
         for v in self._walk(top):
-            own = self.name(v) or v.kind
+            own = name if v is top else self.name(v) or v.kind
             if own in self._reuse:
                 out.append(f"reuse {own} from {self.path(own)}")
             elif v is top or (self.name(v) and v.settings.get("stored")):
