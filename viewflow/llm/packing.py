@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, partitions_for, range_bounds
+from .shared import partitions_for, range_bounds
 from .tokens import coder
 from .wordarrays import U, Words, mix, row_numbers, slices, text_buffers
 
@@ -88,12 +88,14 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int, *, length: int = 2
     bounds = range_bounds(placed, "place", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(tokenizer)
+        code, ends = coder(tokenizer), np.array(bounds, np.int64)
         for b in _places(batches):
             for i, j, ids, counts in code.encode_rows(b.column("text"), end):
                 at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * code.width.itemsize
                 packed = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("place").slice(i, j - i), packed], ["doc_id", "place", "packed"])
+                place = b.column("place").slice(i, j - i)
+                part = pa.array(np.searchsorted(ends, place.to_numpy(), "right"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), place, part, packed], ["doc_id", "place", "part", "packed"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = coder(tokenizer).width
@@ -128,8 +130,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int, *, length: int = 2
             room, made = room - size, made + 1
         yield from _batches(out)
 
-    coded = rows.mapInArrow(encode, "doc_id long, place long, packed binary").withColumn("part", bucket_of("place", bounds).cast("int"))
-    ranged = coded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "doc_id")
+    coded = rows.mapInArrow(encode, "doc_id long, place long, part long, packed binary")
+    ranged = coded.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "place", "doc_id")
     return ranged.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

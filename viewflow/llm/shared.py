@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _written: list[str] = []
 
@@ -88,15 +87,3 @@ def range_bounds(df: DataFrame, column: str, n: int) -> list:
         return []
     found = df.select(column).approxQuantile(column, [i / n for i in range(1, n)], min(0.001, 0.25 / n))
     return sorted({int(x) for x in found})
-
-
-def bucket_of(column: str, bounds: list):
-    """Number of the range, from 0, that a value falls in; nulls go to range 0."""
-    if not bounds:
-        return F.lit(0)
-    at = F.array(*[F.lit(b).cast("long") for b in bounds]) if len(bounds) <= 16 else F.from_json(F.lit(str(bounds)), "array<bigint>")
-    return F.expr("0") if not bounds else F.coalesce(_count_at_most(at, F.col(column)), F.lit(0))
-
-
-def _count_at_most(bounds, value):
-    return F.size(F.filter(bounds, lambda b: b <= value))

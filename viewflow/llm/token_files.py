@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, filesystem, new_path, partitions_for, range_bounds
+from .shared import filesystem, new_path, partitions_for
 from .tokens import coder
 
 SAMPLE = 256
@@ -97,27 +98,24 @@ class EliasFano:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write every document's ids, then ``end``, in ascending id order; one manifest row per shard.
 
-    The manifest has shard, docs, tokens, base (ids in all shards before) and the folder. Ranges come from quantiles
-    of the ids alone, so the text is shuffled once and tokenized once. A retried task writes the same bytes under
+    The manifest has shard, docs, tokens, base (ids in all shards before) and the folder. Spark's range partitioning
+    deals out the texts, which are shuffled once and tokenized once. A retried task writes the same bytes under
     another name and renames, so readers never see half a file. Null texts are empty; null ids come first; equal ids
     stand side by side in order of their texts' hashes; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    n = partitions_for(rows)
-    bounds = range_bounds(rows, "doc_id", n)
-    ranged = rows.withColumn("shard", bucket_of("doc_id", bounds).cast("int")).repartitionById(len(bounds) + 1, "shard")
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")  # the hash splits rows of equal id
+    ordered = rows.repartitionByRange(partitions_for(rows), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer)
-        ids_file = shard = None
+        ids_file, shard = None, TaskContext.get().partitionId()
         names, sizes, nulls = [], [], 0
         fs, root = filesystem(folder)
         temp = posixpath.join(root, f"_writing-{uuid.uuid4().hex}")
         for batch in batches:
             if ids_file is None and batch.num_rows:
-                shard = int(batch.column("shard")[0].as_py())
                 ids_file = fs.open_output_stream(temp + ".ids")
             keys = batch.column("doc_id")
             nulls += keys.null_count
