@@ -163,7 +163,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
     spark = docs.sparkSession
     new = ("n_words", "n_removed", "kept")
     keep = [c for c in docs.columns if c not in (id_column, text_column, *new)]
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("rest"))
+    never = "_" * (max(map(len, docs.columns)) + 1)  # a struct needs a field, and none of ``docs`` has this name
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.struct(F.lit(1).alias(never), *[F.col(f"`{c}`") for c in keep]).alias("rest"))
     kind = f"block long, part int, bytes long, rows array<struct<id: bigint, text: string, rest: {rows.schema['rest'].dataType.simpleString()}>>"
     kept_rows, _ = write_table(rows.mapInArrow(lambda b: _blocks(b, block_bytes), kind), "blocks")
     total = kept_rows.agg(F.sum("bytes")).first()[0] or 0

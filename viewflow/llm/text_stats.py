@@ -18,62 +18,63 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("words", "word_length", "symbols", "dup_lines", "repeats", "distinct", "capitals", "marks", "line_words", "digits")
 
 
-def _at(array: str, k: Column) -> Column:
-    return F.get(F.col(array), k)
-
-
 def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with the COUNTS and FEATURES of each whole text; null texts count as empty.
 
     A word is a run of characters other than 0x20 and 0x09-0x0D. n_dup_lines: lines with a word that equal an earlier
     line. n_repeat_words: words in windows of eight words that stand in the text twice or more, the first included.
-    Columns of ``docs`` with these names are replaced; helper columns are named ``_vf_...``.
+    Columns of ``docs`` with these names are replaced.
     """
+    p = "_vf_"  # what the helper columns begin with, and no column of ``docs`` does
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    at = lambda array, k: F.get(F.col(p + array), k)
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
-    out = docs.drop(*COUNTS, *(f"f_{x}" for x in FEATURES)).withColumn("_vf_text", text)
-    bare = F.btrim("_vf_text", F.lit(SPACES))
+    out = docs.drop(*COUNTS, *(f"f_{x}" for x in FEATURES)).withColumn(p + "text", text)
+    bare = F.btrim(p + "text", F.lit(SPACES))
     no_words = F.array().cast("array<string>")
-    out = out.withColumn("_vf_words", F.when(bare == "", no_words).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
-    lines = F.filter(F.split("_vf_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    out = out.withColumns({"_vf_lines": lines, "_vf_hash": F.transform("_vf_words", lambda w: F.xxhash64(w)), "n_words": F.size("_vf_words").cast("long")})
-    window = F.transform(F.sequence(F.lit(0), F.size("_vf_hash") - WINDOW), lambda i: F.xxhash64(*[_at("_vf_hash", i + k) for k in range(WINDOW)]))
+    out = out.withColumn(p + "words", F.when(bare == "", no_words).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
+    lines = F.filter(F.split(p + "text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    out = out.withColumns({p + "lines": lines, p + "hash": F.transform(p + "words", lambda w: F.xxhash64(w)), "n_words": F.size(p + "words").cast("long")})
+    window = F.transform(F.sequence(F.lit(0), F.size(p + "hash") - WINDOW), lambda i: F.xxhash64(*[at("hash", i + k) for k in range(WINDOW)]))
     out = out.withColumns({
-        "word_chars": F.length(F.regexp_replace("_vf_text", r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace("_vf_text", r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("_vf_lines") - F.size(F.array_distinct("_vf_lines"))).cast("long"),
-        "_vf_capitals": F.length(F.regexp_replace("_vf_text", r"[^A-Z]+", "")),
-        "_vf_marks": F.length(F.regexp_replace("_vf_text", r"[^!?.,;:]+", "")),
-        "_vf_digits": F.length(F.regexp_replace("_vf_text", r"[^0-9]+", "")),
-        "_vf_distinct": F.size(F.array_distinct("_vf_hash")),
-        "_vf_line_count": F.size("_vf_lines"),
-        "_vf_windows": F.when(F.col("n_words") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")),
-    }).drop("_vf_text", "_vf_words", "_vf_lines", "_vf_hash")
-    twice = F.size(F.array_distinct("_vf_windows")) < F.size("_vf_windows")
-    placed = F.sort_array(F.transform("_vf_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("_vf_sorted", F.when(twice, placed)).drop("_vf_windows")
-    same = lambda x, k: F.coalesce(_at("_vf_sorted", k)["h"] == x["h"], F.lit(False))
-    found = F.filter("_vf_sorted", lambda x, k: same(x, k - 1) | same(x, k + 1))
-    out = out.withColumn("_vf_places", F.sort_array(F.transform(found, lambda x: x["i"]))).drop("_vf_sorted")
-    covered = F.transform("_vf_places", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(_at("_vf_places", k + 1) - x, F.lit(WINDOW))))
-    out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")).drop("_vf_places")
-    words, chars, count = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "_vf_line_count"))
+        "word_chars": F.length(F.regexp_replace(p + "text", r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(p + "text", r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size(p + "lines") - F.size(F.array_distinct(p + "lines"))).cast("long"),
+        p + "capitals": F.length(F.regexp_replace(p + "text", r"[^A-Z]+", "")),
+        p + "marks": F.length(F.regexp_replace(p + "text", r"[^!?.,;:]+", "")),
+        p + "digits": F.length(F.regexp_replace(p + "text", r"[^0-9]+", "")),
+        p + "distinct": F.size(F.array_distinct(p + "hash")),
+        p + "line_count": F.size(p + "lines"),
+        p + "windows": F.when(F.col("n_words") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")),
+    }).drop(p + "text", p + "words", p + "lines", p + "hash")
+    twice = F.size(F.array_distinct(p + "windows")) < F.size(p + "windows")
+    placed = F.sort_array(F.transform(p + "windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn(p + "sorted", F.when(twice, placed)).drop(p + "windows")
+    same = lambda x, k: F.coalesce(at("sorted", k)["h"] == x["h"], F.lit(False))
+    found = F.filter(p + "sorted", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    out = out.withColumn(p + "places", F.sort_array(F.transform(found, lambda x: x["i"]))).drop(p + "sorted")
+    covered = F.transform(p + "places", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(at("places", k + 1) - x, F.lit(WINDOW))))
+    out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")).drop(p + "places")
+    words, chars, count = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", p + "line_count"))
     features = {
         "words": F.log1p("n_words"),
         "word_length": F.col("word_chars") / words,
         "symbols": F.col("n_symbols") / chars,
         "dup_lines": F.col("n_dup_lines") / count,
         "repeats": F.col("n_repeat_words") / words,
-        "distinct": F.col("_vf_distinct") / words,
-        "capitals": F.col("_vf_capitals") / chars,
-        "marks": F.col("_vf_marks") / words,
+        "distinct": F.col(p + "distinct") / words,
+        "capitals": F.col(p + "capitals") / chars,
+        "marks": F.col(p + "marks") / words,
         "line_words": F.log1p(F.col("n_words") / count),
-        "digits": F.col("_vf_digits") / chars,
+        "digits": F.col(p + "digits") / chars,
     }
     found = F.struct(*COUNTS, *[features[k].cast("double").alias(f"f_{k}") for k in FEATURES])
     # a one-element explode: no filter on the statistics moves below it, where it would inline every array above
-    kept = [c for c in docs.columns if c not in COUNTS and c not in {f"f_{x}" for x in FEATURES}]
-    out = out.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(found)).alias("_vf"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "_vf.*")
+    new = {*COUNTS, *(f"f_{x}" for x in FEATURES)}
+    kept = [c for c in docs.columns if c.lower() not in new]
+    out = out.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(found)).alias(p))
+    return out.select(*[F.col(f"`{c}`") for c in kept], f"{p}.*")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> DataFrame:

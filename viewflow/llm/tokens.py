@@ -106,7 +106,7 @@ class Coder:
         for k in missing:
             piece = pieces[k]
             word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha() and max(word) < "\u0180":  # one word, which only the model itself has to cut
+            if word.isalpha() and max(word) < "\u0130":  # one word, which only the model itself has to cut
                 word = word.lower() if self.lower else piece
                 found[k] = array(kind, [t.id for t in tokenize(word.encode().decode("latin-1").translate(self.byte_chars))]).tobytes()
             else:
