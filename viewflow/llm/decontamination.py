@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
 from .wordarrays import PUNCTUATION, U, Words, inside_rows, row_numbers, slices, text_buffers, window_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -198,10 +199,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, s
         if not held:
             continue
         seeds = Seeds([r.item_id for r in held], [r.text for r in held], seed_words)
-        counted = rows.mapInArrow(lambda b, s=seeds: _count_rows(b, s), "seed long, texts long").groupBy("seed").agg(F.sum("texts").alias("texts"))
+        counted = map_arrow(rows, lambda b, s=seeds: _count_rows(b, s), "seed long, texts long").groupBy("seed").agg(F.sum("texts").alias("texts"))
         texts = np.zeros(len(seeds.seeds), np.int64)
         for r in counted.collect():  # a row for each seed of the block at most
             texts[r.seed] = r.texts
         seeds.keep_rare(texts, rare_factor, rare_floor)
-        found.append(rows.mapInArrow(lambda b, s=seeds: _align_rows(b, s, threshold), _SCHEMA))
+        found.append(map_arrow(rows, lambda b, s=seeds: _align_rows(b, s, threshold), _SCHEMA))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _SCHEMA)

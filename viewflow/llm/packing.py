@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions_for, range_bounds
+from .shared import map_arrow, partitions_for, range_bounds
 from .tokens import coder
 from .wordarrays import U, Words, mix, row_numbers, slices, text_buffers
 
@@ -84,7 +84,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int, *, length: int = 2
     rows = rows.withColumn("tie", F.xxhash64("doc_id"))
     kind = "doc_id long, text string, place long"
     n = partitions_for(rows)
-    placed = rows.mapInArrow(_places, kind)
+    placed = map_arrow(rows, _places, kind)
     bounds = range_bounds(placed, "place", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +130,9 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int, *, length: int = 2
             room, made = room - size, made + 1
         yield from _batches(out)
 
-    coded = rows.mapInArrow(encode, "doc_id long, place long, part long, packed binary")
+    coded = map_arrow(rows, encode, "doc_id long, place long, part long, packed binary", tokenizes=True)
     ranged = coded.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "place", "doc_id")
-    return ranged.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(ranged, cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long", tokenizes=True)
 
 
 def _rows(pieces, sequence: int, offset: int) -> list[tuple]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import write_table
+from .shared import map_arrow, write_table
 from .wordarrays import U, mix, text_buffers
 
 PIVOTS = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 3, id_column: str = "d
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, fingerprint long")
+    return map_arrow(rows, compute, "doc_id long, fingerprint long")
 
 
 def block_masks(max_bits: int, blocks: int) -> list[int]:
@@ -141,7 +141,7 @@ def links(distinct: DataFrame, *, max_bits: int = 2, blocks: int = 6, bucket_cap
     masks = block_masks(max_bits, blocks)
     deals = F.array(*[F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
     dealt = distinct.select("fingerprint", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "fingerprint")
-    found, _ = write_table(dealt.mapInArrow(lambda b: _compare(b, max_bits, bucket_cap), "a long, b long"), "pairs")
+    found, _ = write_table(map_arrow(dealt, lambda b: _compare(b, max_bits, bucket_cap), "a long, b long"), "pairs")
     crowded = found.where("b is null").select(F.col("a").alias("fingerprint")).distinct()
     around = F.array(F.col("fingerprint"), *[F.col("fingerprint").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)])
     met = crowded.select("fingerprint", F.explode(around).alias("at"))
@@ -272,13 +272,13 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: floa
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(WIDE)]], ["doc_id", *parts])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    made = rows.mapInArrow(compute, "doc_id long, " + ", ".join(f"{p} long" for p in parts))
+    made = map_arrow(rows, compute, "doc_id long, " + ", ".join(f"{p} long" for p in parts))
     prints, _ = write_table(made.withColumn("node", F.xxhash64(*parts)), "fingerprints")
     nodes = prints.groupBy("node", *parts).agg(F.min("doc_id").alias("least"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = F.array(*[F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(parts, masks, strict=True) if m]) for t, masks in enumerate(_table_masks(tables, table_bits))])
     dealt = nodes.select("node", "f0", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "node")
-    pairs = dealt.mapInArrow(lambda b: _candidates(b, first_limit), "a long, b long").distinct()
+    pairs = map_arrow(dealt, lambda b: _candidates(b, first_limit), "a long, b long").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in parts])
     far = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parts[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
     edges = pairs.join(side("a"), "a").join(side("b"), "b").where(far <= limit).select("a", "b")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, write_table
+from .shared import filesystem, map_arrow, write_table
 from .wordarrays import U, Words, inside_rows, row_numbers, slices, text_buffers, window_hashes
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
     never = "_" * (max(map(len, docs.columns)) + 1)  # a struct needs a field, and none of ``docs`` has this name
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), F.struct(F.lit(1).alias(never), *[F.col(f"`{c}`") for c in keep]).alias("rest"))
     kind = f"block long, part int, bytes long, rows array<struct<id: bigint, text: string, rest: {rows.schema['rest'].dataType.simpleString()}>>"
-    kept_rows, _ = write_table(rows.mapInArrow(lambda b: _blocks(b, block_bytes), kind), "blocks")
+    kept_rows, _ = write_table(map_arrow(rows, lambda b: _blocks(b, block_bytes), kind), "blocks")
     total = kept_rows.agg(F.sum("bytes")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, int(total / 16 / bucket_hashes) + 1)  # a word takes some 5 bytes, 4 of 13 are anchors
@@ -182,7 +182,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
             yield _sent(name, block.anchors, None, buckets)
 
     def judged(fn, name):
-        sent = slim.mapInArrow(fn, "bucket int, block long, hashes binary, ids binary")
+        sent = map_arrow(slim, fn, "bucket int, block long, hashes binary, ids binary")
         told = sent.groupBy("bucket").applyInArrow(_judge, _FLAGS)
         return write_table(told.repartition(shuffle, "part"), name, "part")[1]
 
@@ -217,6 +217,6 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
                 removed = np.where(np.diff(at) > 0, removed, 0)
                 yield pa.RecordBatch.from_arrays([ids, texts, rest, pa.array(np.diff(at)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())], ["id", "text", "rest", *new])
 
-    out = kept_rows.mapInArrow(clean, rows.schema.add("n_words", "long").add("n_removed", "long").add("kept", "string"))
+    out = map_arrow(kept_rows, clean, rows.schema.add("n_words", "long").add("n_removed", "long").add("kept", "string"))
     shown = {id_column: F.col("id"), text_column: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in keep}
     return out.select(*[shown[c].alias(c) for c in docs.columns if c in shown], *new)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import filesystem, write_table
+from .shared import filesystem, map_arrow, write_table
 from .tokens import coder
 
 
@@ -46,7 +46,7 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str, end: int, *,
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "ordinal": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "ids": [total], "width": [code.width.itemsize]})
 
-    made, _ = write_table(rows.mapInArrow(write, "file string, ordinal long, doc_id long, ids long, width long"), "flat")
+    made, _ = write_table(map_arrow(rows, write, "file string, ordinal long, doc_id long, ids long, width long", tokenizes=True), "flat")
     files = made.where("ids is not null").select(F.concat(F.lit(folder + "/"), "file").alias("file"), "ids", "width")
     return files, made.where("ids is null").select(F.concat(F.lit(folder + "/"), "file").alias("file"), "ordinal", "doc_id")
 
@@ -75,7 +75,7 @@ def token_counts(files: DataFrame, end: int, *, block_ids: int = 1 << 20) -> Dat
                     "ended": [len(at)], "last_end": pa.array([start + int(at[-1]) if len(at) else None], pa.int64()), "lengths": pa.array([lengths.tolist()], pa.list_(pa.int64())),
                 })
 
-    found, _ = write_table(spread.mapInArrow(search, "file string, block long, start long, stop long, last boolean, ended long, last_end long, lengths array<long>"), "ends")
+    found, _ = write_table(map_arrow(spread, search, "file string, block long, start long, stop long, last boolean, ended long, last_end long, lengths array<long>"), "ends")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scan = found.select("file", "block", F.coalesce(F.sum("ended").over(before), F.lit(0)).alias("base"), F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("opened"))
     stitched = found.join(scan, ["file", "block"])

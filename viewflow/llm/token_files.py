@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_path, partitions_for
+from .shared import filesystem, map_arrow, new_path, partitions_for
 from .tokens import coder
 
 SAMPLE = 256
@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, *,
 
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    made = sorted(ordered.mapInArrow(write, "shard long, docs long, tokens long").collect())  # a row for each shard
+    made = sorted(map_arrow(ordered, write, "shard long, docs long, tokens long", tokenizes=True).collect())  # a row for each shard
     base, manifest = 0, []
     for row in made:
         manifest.append((row.shard, row.docs, row.tokens, base, folder))
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, *,
 
 def read_token_files(manifest: DataFrame, *, block_ids: int = 1 << 20) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian 32-bit) of every document in the files of a manifest."""
-    return manifest.mapInArrow(lambda batches: _read(batches, block_ids), "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(manifest, lambda batches: _read(batches, block_ids), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _read(batches, block_ids):
@@ -189,7 +189,7 @@ def document_digests(manifest: DataFrame) -> DataFrame:
             sums = [zlib.crc32(x.as_buffer()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(manifest, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_folder(docs: DataFrame) -> str:

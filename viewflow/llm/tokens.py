@@ -40,6 +40,11 @@ def coder(name: str, special_as_text: bool = True) -> Coder:
     return _coders[key]
 
 
+def forget() -> None:
+    """Drop this process's coders and their memos."""
+    _coders.clear()
+
+
 def _byte_chars() -> dict[int, int]:
     """The character that byte-level files use for each byte: printable ones stand for themselves, the others follow 256."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -49,7 +54,7 @@ def _byte_chars() -> dict[int, int]:
 class Coder:
     """Encodes columns of text; ``memo_entries`` bounds the pieces remembered, not what is encoded."""
 
-    def __init__(self, name: str, special_as_text: bool = True, memo_entries: int = 500_000):
+    def __init__(self, name: str, special_as_text: bool = True, memo_entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
