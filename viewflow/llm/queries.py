@@ -90,4 +90,39 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, i, array_to_string(l[i:i + 19], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS i FROM d WHERE len(l) >= 20)),
+f AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM f, range(0, 20) r(k)),
+w AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM w ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    from .license_scan import LOWER, NOTICES, PHRASES, UPPER
+
+    rows = []
+    for number, t in enumerate(PHRASES + NOTICES):
+        words = t.words.split()
+        k = min(3, len(words))
+        n = len(words) - k + 1
+        rows += [f"({number}, '{t.label}', {t.exact}, '{' '.join(words[at : at + k])}', {at}, {n}, {len(words)})" for at in range(n)]
+    return rf"""
+WITH t(template, label, exact, gram, slot, grams, length) AS (VALUES {', '.join(rows)}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS l FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, array_to_string(l[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d), (VALUES (2), (3)) v(k) WHERE i + k - 1 <= len(l)),
+v AS (SELECT doc_id, template, label, exact, grams, length, i - slot AS diagonal, bit_or(CAST(1 AS BIGINT) << slot) AS hit, min(i) AS low, max(i) AS high FROM g JOIN t USING (gram) GROUP BY ALL),
+o AS (SELECT *, sum(CAST(exact OR coalesce(diagonal - before > 3, true) AS INT)) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
+      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v)),
+m AS (SELECT doc_id, template, label, exact, length, bit_count(bit_or(hit)) / grams AS covered, min(low) AS low, max(high) AS high, min(diagonal) AS start FROM o GROUP BY doc_id, template, label, exact, grams, length, span),
+r AS (SELECT *, exact AND covered = 1 AS base, NOT exact AND high - low < length + 3 AS close FROM m),
+a AS (SELECT doc_id, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR (close AND covered >= 0.7)) AS labels, max(CASE WHEN base OR close THEN covered ELSE 0 END) AS score FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN a USING (doc_id)"""
+
+
+#: Learned rules and weights, BPE ids, alignments and XXH64 fingerprints are beyond SQL; tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": _SUBSTRING_SQL, "op9_license_scan": _license_sql()}
