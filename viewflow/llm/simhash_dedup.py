@@ -170,7 +170,7 @@ def simhash_components(docs: DataFrame, *, shingle_words: int = 3, max_bits: int
 
 
 WIDE = 8  # 64-bit parts of a wide fingerprint
-_CROWD = 32
+_CROWD = 8
 
 
 def wide_fingerprint(text: bytes, shingle_words: int) -> np.ndarray:
@@ -208,7 +208,8 @@ def _table_masks(tables: int, bits: int) -> list[list[int]]:
 def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Rows (deal, node, f0) come sorted by deal. Pairs of a deal that the pivots and the first part let pass.
 
-    All pairs among a deal's first members; each further member goes with the nearest of those.
+    All pairs among a deal's first members; each further member goes with the first of those that it is close to.
+    Members come in the order of their nodes, so a large group's members meet the same few in many deals.
     """
     held = [np.zeros(0, np.int64)] * 3  # the first members of the deal that the last batch ended in
     more = 0  # and how many members it had
@@ -238,7 +239,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
         for k in range(0, len(crowd), 4096):
             part = crowd[k : k + 4096]
             far = np.bitwise_count(bits[head[run[part]][:, None] + np.arange(_CROWD)] ^ bits[part][:, None])
-            best = far.argmin(axis=1)
+            best = (far <= limit).argmax(axis=1)
             good = far[np.arange(len(part)), best] <= limit
             found.append((nodes[head[run[part]] + best][good], nodes[part][good]))
         last = head[-1]
