@@ -21,10 +21,10 @@ def _terms(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
     return tokens.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def _unit(weighted: DataFrame) -> DataFrame:
-    """Weights divided by their document's norm, null where that is zero."""
-    norms = weighted.groupBy("doc").agg(F.sum(F.col("tf") * F.col("w") * F.col("w")).alias("z"))
-    return weighted.join(norms, "doc").select("doc", "term", "tf", (F.col("w") / F.nullif(F.sqrt("z"), F.lit(0.0))).alias("weight"))
+def _unit(weighted: DataFrame, *kept: str) -> DataFrame:
+    """Weights divided by their document's norm, null where that is zero. A document's terms are one window's rows."""
+    z = F.sum(F.col("tf") * F.col("w") * F.col("w")).over(Window.partitionBy("doc"))
+    return weighted.select("doc", "term", "tf", (F.col("w") / F.nullif(F.sqrt(z), F.lit(0.0))).alias("weight"), *kept)
 
 
 def _idf(ndoc: Column, df: Column, floor_idf: bool) -> Column:
@@ -59,7 +59,7 @@ def relation_vectors(docs: DataFrame, doc: str, text: str) -> DataFrame:
     df = terms.groupBy("term").agg(F.sum("tf").alias("df"))
     ndoc = terms.agg(F.countDistinct("doc").alias("ndoc"))
     weighted = ops.sideviews.augment_row(terms.join(df, "term"), ndoc).withColumn("w", F.lit(math.log(2.0)) * F.ln(F.col("side.ndoc") / F.col("df")))
-    return _unit(weighted).join(df, "term")
+    return _unit(weighted, "df")
 
 
 def _similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
