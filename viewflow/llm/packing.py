@@ -84,7 +84,7 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int, *, length: int = 2
     rows = rows.withColumn("tie", F.xxhash64("doc_id"))
     kind = "doc_id long, text string, place long"
     n = partitions_for(rows)
-    placed = map_arrow(rows, _places, kind)
+    placed = map_arrow(rows, _places, kind, tokenizes=True)  # the next pass needs the memos again
     bounds = range_bounds(placed, "place", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
