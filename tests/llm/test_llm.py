@@ -469,6 +469,57 @@ def test_near_duplicates(spark, odd, none):
     assert near_duplicates(none).count() == 0
 
 
+def near_components(rows, similarity=0.8):
+    """{id: smallest id} by comparing all pairs of 5-word shingle sets."""
+    sets = {}
+    for d, t in rows:
+        w = t.lower().split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and group[a] != group[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("crowd", [2, 16, 10_000])
+def test_crowded_deals_lose_no_pair(spark, crowd):
+    rng, rows = np.random.default_rng(6), []
+    base = [f"t{x}" for x in rng.integers(0, 5000, 300)]
+
+    def edited(words, n, name):
+        own = list(words)
+        for k in rng.choice(len(own), n, replace=False):
+            own[k] = f"{name}{rng.integers(0, 10**9)}"
+        return own
+
+    for c in range(60):  # 60 versions of one text, not alike themselves, and a second copy of each that is
+        own = edited(base, 18, "n")
+        rows += [(c, own), (100 + c, edited(own, 2, "m"))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    want = near_components(rows)
+    assert all(want[100 + c] == want[c] for c in range(60)) and len(set(want.values())) > 30
+    got = dict(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, table_bits=8).collect()))
+    assert got == want
+
+
+def test_batches_split_deals():
+    from viewflow.llm.simhash_dedup import _candidates
+
+    rng = np.random.default_rng(8)
+    deals = np.repeat(np.arange(12), [1, 3, 4, 5, 9, 1, 2, 30, 4, 1, 5, 7])
+    nodes, values = np.arange(len(deals)), rng.integers(0, 1 << 62, len(deals))
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (deals, nodes, values)], ["deal", "node", "f0"])
+    count = np.bincount(deals)
+    want = {(int(i), int(j), None) for i in nodes for j in nodes if i < j and deals[i] == deals[j] and count[deals[i]] <= 4}
+    want |= {(int(i), None, int(deals[i])) for i in nodes if count[deals[i]] > 4}
+    for step in (1, 2, 3, 5, 7, 100):
+        got = [tuple(r.values()) for b in _candidates(iter([table.slice(k, step) for k in range(0, len(deals), step)]), 64, 4) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 # words
 
 

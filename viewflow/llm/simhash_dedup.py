@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import map_arrow, write_table
-from .wordarrays import U, mix, text_buffers
+from .wordarrays import U, mix, slices, text_buffers
 
 PIVOTS = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -170,23 +170,27 @@ def simhash_components(docs: DataFrame, *, shingle_words: int = 3, max_bits: int
 
 
 WIDE = 8  # 64-bit parts of a wide fingerprint
-_CROWD = 8
+_CROWD = 16  # a deal's pairs are sent on up to so many members; beyond, its members' shingles come to the deal
 
 
-def wide_fingerprint(text: bytes, shingle_words: int) -> np.ndarray:
-    """A SimHash of 512 bits over the distinct shingles; the parts come from mixing each one's XXH64 again."""
+def shingle_values(text: bytes, shingle_words: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's word shingles, ascending; none without words."""
     words = text.lower().split()
     if not words:
-        return np.zeros(WIDE, U)
+        return np.zeros(0, U)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     n = max(1, len(words) - shingle_words + 1)
     ends = ends[shingle_words - 1 :] - 1 if len(words) >= shingle_words else ends[-1:] - 1
     h = xxhash.xxh64_intdigest
-    values = np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), U, n))
+    return np.unique(np.fromiter((h(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), U, n))
+
+
+def wide_fingerprint(values: np.ndarray) -> np.ndarray:
+    """A SimHash of 512 bits over distinct shingles; the parts come from mixing each one's XXH64 again."""
     n, out = len(values), np.zeros(WIDE, U)
-    for k in range(WIDE):
+    for k in range(WIDE if n else 0):
         part, count = mix(values + U(k * 0x9E3779B97F4A7C15 % (1 << 64))), np.zeros(64, np.int64)
         for at in range(0, n, 1 << 15):
             count += np.unpackbits(part[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -205,85 +209,170 @@ def _table_masks(tables: int, bits: int) -> list[list[int]]:
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, node, f0) come sorted by deal. Pairs of a deal that the pivots and the first part let pass.
+def _candidates(batches: Iterator[pa.RecordBatch], limit: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, node, f0) come sorted by deal. Pairs (a, b, null) of a deal of up to ``cap`` members that the
+    pivots and the first part let pass; (a, null, deal) for every member of a larger one."""
+    held = [np.zeros(0, np.int64)] * 3  # the deal that the last batch ended in: all of it, or of a larger one cap + 1
+    told = False  # whether the held members have been told as a crowd's
 
-    All pairs among a deal's first members; each further member goes with the first of those that it is close to.
-    Members come in the order of their nodes, so a large group's members meet the same few in many deals.
-    """
-    held = [np.zeros(0, np.int64)] * 3  # the first members of the deal that the last batch ended in
-    more = 0  # and how many members it had
-    for b in batches:
-        deals, nodes, values = (np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("deal", "node", "f0"), strict=True))
-        old = len(held[0])
-        if len(deals) == old:
-            continue
+    def pairs(deals, nodes, values):
         head = np.flatnonzero(np.concatenate(([True], deals[1:] != deals[:-1])))
-        run = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(deals))))
-        place = np.arange(len(deals)) - head[run]
-        place[old:][run[old:] == 0] += (more - old) if old else 0
-        first = place < _CROWD
+        size = np.diff(np.append(head, len(deals)))
+        run = np.repeat(np.arange(len(head)), size)
+        small = size[run] <= cap
         bits = values.view(U)
         table = np.bitwise_count(bits[:, None] ^ PIVOTS).astype(np.int8)
         found = []
-        for lag in range(1, _CROWD):
-            right = np.arange(max(lag, old), len(deals))
-            right = right[(run[right] == run[right - lag]) & first[right]]
+        for lag in range(1, cap):
+            right = np.arange(lag, len(deals))
+            right = right[(run[right] == run[right - lag]) & small[right]]
             if not len(right):
                 break
-            near = np.abs(table[right] - table[right - lag]).max(axis=1) <= limit
-            right = right[near]
+            right = right[np.abs(table[right] - table[right - lag]).max(axis=1) <= limit]
             right = right[np.bitwise_count(bits[right] ^ bits[right - lag]) <= limit]
             found.append((nodes[right - lag], nodes[right]))
-        crowd = np.flatnonzero(~first)
-        for k in range(0, len(crowd), 4096):
-            part = crowd[k : k + 4096]
-            far = np.bitwise_count(bits[head[run[part]][:, None] + np.arange(_CROWD)] ^ bits[part][:, None])
-            best = (far <= limit).argmax(axis=1)
-            good = far[np.arange(len(part)), best] <= limit
-            found.append((nodes[head[run[part]] + best][good], nodes[part][good]))
-        last = head[-1]
-        more = int(place[-1]) + 1
-        held = [x[last : last + _CROWD].copy() for x in (deals, nodes, values)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tables: int = 96, table_bits: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return a, b, ~small
+
+    def batch(a, b, member, deal):
+        blank = lambda n: pa.nulls(n, pa.int64())
+        columns = [pa.concat_arrays([pa.array(a), pa.array(member)]), pa.concat_arrays([pa.array(b), blank(len(member))]), pa.concat_arrays([blank(len(a)), pa.array(deal)])]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "deal"])
+
+    for b in batches:
+        old = len(held[0]) if told else 0
+        deals, nodes, values = (np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("deal", "node", "f0"), strict=True))
+        if not len(deals):
+            continue
+        last = int(np.append(-1, np.flatnonzero(deals != deals[-1]))[-1]) + 1
+        open_crowd = len(deals) - last > cap
+        end = len(deals) if open_crowd else last
+        left, right, crowd = pairs(deals[:end], nodes[:end], values[:end]) if end else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        at = np.flatnonzero(crowd)
+        at = at[at >= old]
+        yield batch(left, right, nodes[at], deals[at])
+        told = open_crowd
+        held = [x[last : last + cap + 1].copy() if open_crowd else x[last:].copy() for x in (deals, nodes, values)]
+    if len(held[0]) and not told:
+        left, right, _ = pairs(*held)
+        yield batch(left, right, np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def shared_values(a: np.ndarray, b: np.ndarray) -> int:
+    """How many entries two ascending arrays of distinct values share."""
+    if not len(a) or not len(b):
+        return 0
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
+
+def crowd_links(bits: np.ndarray, sets: list[np.ndarray], limit: int, similarity: float) -> list[tuple[int, int]]:
+    """Index pairs of that similarity that join all members connected by such pairs within ``limit`` bits.
+
+    Each member meets all before it, the nearest first; only pairs of one group already are left out, so the groups
+    are those of all pairs while the links are fewer than the members.
+    """
+    n, out = len(sets), []
+    size = np.array([len(x) for x in sets])
+    group = np.arange(n)
+    for i in range(1, n):
+        far = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        at = np.flatnonzero((far <= limit) & (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i])))
+        for j in at[np.argsort(far[at], kind="stable")].tolist():
+            if group[i] == group[j]:
+                continue
+            both = shared_values(sets[i], sets[j])
+            if both / max(1, size[i] + size[j] - both) >= similarity:
+                out.append((j, i))
+                group[group == group[i]] = group[j]
+    return out
+
+
+def _crowds(batches: Iterator[pa.RecordBatch], limit: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, node, f0 ..., shingles) come sorted by deal; links (a, b) of each deal's members."""
+    key, nodes, bits, sets = None, [], [], []
+
+    def close():
+        found = crowd_links(np.array(bits, U).reshape(-1, WIDE), sets, limit, similarity)
+        made = [np.array([nodes[pair[k]] for pair in found], np.int64) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b"])
+
+    for b in batches:
+        deals, prints = b.column("deal").to_pylist(), np.stack([b.column(f"f{k}").to_numpy() for k in range(WIDE)], axis=1).view(U)
+        lists, own = b.column("shingles"), b.column("node").to_pylist()
+        for k, deal in enumerate(deals):
+            if deal != key:
+                if nodes:
+                    yield close()
+                key, nodes, bits, sets = deal, [], [], []
+            nodes.append(own[k])
+            bits.append(prints[k])
+            sets.append(lists[k].values.to_numpy().view(U).copy())
+    if nodes:
+        yield close()
+
+
+def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tables: int = 96, table_bits: int = 20, crowd: int = _CROWD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row, grouping texts whose word shingles have a similarity of ``similarity``.
 
-    Sets of similarity s differ in a share acos(2s / (1 + s)) / pi of their fingerprints' bits. Fingerprints of 512
-    bits that agree on all bits of one of the tables' samples are candidates; pivots and the first 64 bits discard,
-    all bits decide, at the expected share and 1.75 standard deviations more, so that nearly all pairs of
-    that similarity pass and none much below. Candidates are found with probability 1 - (1 - (1 - share) **
-    table_bits) ** tables: 0.97 at a similarity of 0.8, 0.998 at 0.85; groups of more than two are
-    linked in several ways. Nulls, ties and empty tables are treated as by simhash_components().
+    Two rows link if the Jaccard similarity of their sets of distinct shingles is ``similarity`` or more, and groups
+    are what links connect. Candidates come from fingerprints: sets of similarity s differ in a share
+    acos(2s / (1 + s)) / pi of 512 bits at most, and fingerprints that agree on all bits of one of the tables' samples
+    meet; a pair beyond the expected share by four standard deviations is left out, every other one is decided by the
+    sets themselves. A pair meets with probability 1 - (1 - (1 - share) ** table_bits) ** tables: 0.97 at a
+    similarity of 0.8, 0.998 at 0.85. The members of a deal of over ``crowd`` all meet as well, in one task that their
+    sets come to and that sends on only the links which join them. Nulls, ties and empty tables are treated as by
+    simhash_components().
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     spread = np.sqrt(share * (1 - share))
-    limit = int(64 * WIDE * share + 1.75 * 8 * np.sqrt(WIDE) * spread)
-    first_limit = int(64 * share + 3.5 * 8 * spread)
+    limit = int(64 * WIDE * share + 4 * 8 * np.sqrt(WIDE) * spread)
+    first_limit = int(64 * share + 4 * 8 * spread)
     parts = [f"f{k}" for k in range(WIDE)]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_buffers(b.column("text"))
             raw = data.tobytes()
-            found = np.array([wide_fingerprint(raw[i:j], shingle_words) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], U).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(WIDE)]], ["doc_id", *parts])
+            node, size, found = np.zeros(b.num_rows, U), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, WIDE), U)
+            for r, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                values = shingle_values(raw[i:j], shingle_words)
+                node[r], size[r], found[r] = xxhash.xxh64_intdigest(values.tobytes()), len(values), wide_fingerprint(values)
+            columns = [pa.array(node.view(np.int64)), pa.array(size), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE)]]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *columns], ["doc_id", "text", "node", "size", *parts])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = text_buffers(b.column("text"))
+            for i, j in slices(at):
+                sets = [shingle_values(data[at[r] : at[r + 1]].tobytes(), shingle_words).view(np.int64) for r in range(i, j)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    made = map_arrow(rows, compute, "doc_id long, " + ", ".join(f"{p} long" for p in parts))
-    prints, _ = write_table(made.withColumn("node", F.xxhash64(*parts)), "fingerprints")
-    nodes = prints.groupBy("node", *parts).agg(F.min("doc_id").alias("least"))
+    made = map_arrow(rows, compute, "doc_id long, text string, node long, size long, " + ", ".join(f"{p} long" for p in parts))
+    prints, _ = write_table(made.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    # a node is a set of shingles; one row's text stands for it
+    nodes, _ = write_table(prints.groupBy("node", "size", *parts).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = F.array(*[F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(parts, masks, strict=True) if m]) for t, masks in enumerate(_table_masks(tables, table_bits))])
-    dealt = nodes.select("node", "f0", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "node")
-    pairs = map_arrow(dealt, lambda b: _candidates(b, first_limit), "a long, b long").distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(p).alias(f"{x}_{p}") for p in parts])
+    dealt = nodes.where("size > 0").select("node", "f0", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "node")
+    found, _ = write_table(map_arrow(dealt, lambda b: _candidates(b, first_limit, crowd), "a long, b long, deal long"), "candidates")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *[F.col(p).alias(f"{x}_{p}") for p in parts])
     far = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parts[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    edges = pairs.join(side("a"), "a").join(side("b"), "b").where(far <= limit).select("a", "b")
-    roots = connected_components(edges)
+    near = (far <= limit) & (F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size"))
+    pairs = found.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(near)
+    pairs, _ = write_table(pairs.select("a", "b", "a_size", "b_size"), "pairs")
+    crowded = found.where("b is null").select(F.col("a").alias("node"), "deal")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    texts = prints.select("row", "node", "text").join(nodes.join(need, "node", "left_semi").select("row"), "row", "left_semi")
+    sets, _ = write_table(map_arrow(texts.select("node", "text"), spell, "node long, shingles array<long>"), "shingles")
+    own = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    checked = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("both", both)
+    edges = checked.where(F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both")) >= F.lit(similarity)).select("a", "b")
+    members = crowded.join(nodes.select("node", *parts), "node").join(sets, "node").repartition(n, "deal").sortWithinPartitions("deal", "node")
+    joined = map_arrow(members.select("deal", "node", *parts, "shingles"), lambda b: _crowds(b, limit, similarity), "a long, b long")
+    roots = connected_components(edges.unionByName(joined))
     placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     told = placed.join(smallest, "root").select("node", "component_id")
