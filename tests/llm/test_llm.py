@@ -505,6 +505,21 @@ def test_crowded_deals_lose_no_pair(spark, crowd):
     assert got == want
 
 
+def test_near_duplicates_hold_to_the_similarity(spark):
+    rng, rows = np.random.default_rng(7), []
+    for g in range(120):  # pairs on both sides of 0.8
+        words = [f"t{x}" for x in rng.integers(0, 50_000, 300)]
+        own = list(words)
+        for k in range(5, 5 + 10 * (4 + g % 5), 10):
+            own[k] = f"n{g}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(own))]
+    got = dict(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = near_components(rows)
+    alike = [d for d in want if want[d] != d]
+    assert 40 < len(alike) < 80 and all(got[d] == d for d in want if want[d] == d)
+    assert sum(got[d] == want[d] for d in alike) > 0.9 * len(alike)
+
+
 def test_batches_split_deals():
     from viewflow.llm.simhash_dedup import _candidates
 
