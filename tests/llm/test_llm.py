@@ -167,6 +167,14 @@ def test_contaminated(spark, docs, texts, odd, none):
     assert contaminated(none, tests).count() == 0 and contaminated(odd, tests.where("false")).count() == 0
 
 
+def test_edited_copies_in_many_texts(spark):
+    item = " ".join(f"q{k}" for k in range(60))
+    edited = " ".join(f"e{k}" if k % 6 == 5 else f"q{k}" for k in range(60))
+    rows = spark.createDataFrame([(d, f"a{d} b{d} {edited} c{d}") for d in range(1000)] + [(5000, "q0 q1 q2 q3 alone")], "doc_id long, text string")
+    got = contaminated(rows, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000)) and {r.score for r in got} == {91 / 120}
+
+
 # 3
 
 

@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, lower-cased, so case and punctuation don't
-matter. Seeds are the test items' word n-grams; how many texts hold each is counted over all texts, and a seed is rare
-if that is little beyond its item's median (an item that very many texts hold keeps its seeds). Rare seeds lead to
-passages, and each passage is aligned to its item with numpy: insertions, deletions and replaced words cost a little.
+matter. Seeds are the test items' word n-grams, and every one leads to a passage, however many texts hold it. A passage
+without enough of its item's words to reach the threshold is left out, which loses nothing; the others are aligned to
+their items with numpy: insertions, deletions and replaced words cost a little.
 """
 
 from __future__ import annotations
@@ -50,34 +50,22 @@ class Seeds:
         self.item, self.place = item[order], place[order]
         self.seeds, at, self.uses = np.unique(h[order], return_index=True, return_counts=True)
         self.at, self.kinds = at, np.unique(k).tolist()
-        self.rare = np.ones(len(self.seeds), bool)
         self.filter = self._filter()
 
     def _filter(self) -> np.ndarray:
         table = np.zeros(1 << 20, bool)
-        table[(self.seeds[self.rare] & U((1 << 20) - 1)).astype(np.int64)] = True
+        table[(self.seeds & U((1 << 20) - 1)).astype(np.int64)] = True
         return table
 
-    def keep_rare(self, texts_with: np.ndarray, factor: float, floor: int) -> None:
-        """Keep seeds that at most max(floor, factor * median of their item) texts hold."""
-        of = np.repeat(np.arange(len(self.seeds)), self.uses)
-        limit = np.zeros(len(self.ids))
-        for item in np.unique(self.item):
-            limit[item] = max(floor, factor * np.median(texts_with[of[self.item == item]]))
-        rare = np.zeros(len(self.seeds), bool)
-        np.logical_or.at(rare, of, texts_with[of] <= limit[self.item])
-        self.rare = rare
-        self.filter = self._filter()
-
     def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the words, number of the seed) of every rare seed."""
+        """(place among the words, number of the seed) of every seed."""
         places, numbers = [], []
         for k in self.kinds:
             own = window_hashes(hashes, k)
             at = np.flatnonzero(self.filter[(own & U((1 << 20) - 1)).astype(np.int64)])
             seed = np.searchsorted(self.seeds, own[at])
             seed[seed == len(self.seeds)] = 0
-            good = (self.seeds[seed] == own[at]) & self.rare[seed] & inside_rows(words.first, k)[at] if len(self.seeds) else np.zeros(0, bool)
+            good = (self.seeds[seed] == own[at]) & inside_rows(words.first, k)[at] if len(self.seeds) else np.zeros(0, bool)
             places.append(at[good])
             numbers.append(seed[good])
         if not places:
@@ -136,6 +124,13 @@ def passages(words: Words, hashes: np.ndarray, seeds: Seeds, pad: float = 0.5) -
     yield tuple(now)
 
 
+def _can_reach(passage: tuple[int, int, int, int], hashes: np.ndarray, seeds: Seeds, threshold: float) -> bool:
+    """Whether the passage holds so many of the item's words that an alignment could reach the threshold."""
+    _, item, low, high = passage
+    own = seeds.hashes[seeds.first[item] : seeds.first[item + 1]]
+    return np.count_nonzero(np.isin(own, hashes[low:high])) >= threshold * len(own)
+
+
 def _align_rows(batches: Iterator[pa.RecordBatch], seeds: Seeds, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _lower(batch.column("text"))
@@ -144,7 +139,7 @@ def _align_rows(batches: Iterator[pa.RecordBatch], seeds: Seeds, threshold: floa
         for i, j in slices(offsets):
             words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             hashes = words.hashes()
-            found = sorted(passages(words, hashes, seeds), key=lambda x: x[3] - x[2])
+            found = sorted((x for x in passages(words, hashes, seeds) if _can_reach(x, hashes, seeds, threshold)), key=lambda x: x[3] - x[2])
             for at in range(0, len(found), 256):
                 part = found[at : at + 256]
                 own = [seeds.hashes[seeds.first[x[1]] : seeds.first[x[1] + 1]] for x in part]
@@ -167,20 +162,7 @@ def _align_rows(batches: Iterator[pa.RecordBatch], seeds: Seeds, threshold: floa
             })
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch], seeds: Seeds) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(seeds.seeds), np.int64)
-    for batch in batches:
-        data, offsets = _lower(batch.column("text"))
-        for i, j in slices(offsets):
-            words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            place, seed = seeds.hits(words, words.hashes())
-            pairs = np.unique(row_numbers(words.first)[place] * len(total) + seed)
-            total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "texts"])
-
-
-def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, seed_words: int = 4, rare_factor: float = 4.0, rare_floor: int = 16, block_chars: int = 4 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, seed_words: int = 4, block_chars: int = 4 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) for every row and item whose alignment reaches ``threshold``.
 
     score is the best local alignment's score as a share of the item's own, and the words from start_word up to
@@ -199,10 +181,5 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, s
         if not held:
             continue
         seeds = Seeds([r.item_id for r in held], [r.text for r in held], seed_words)
-        counted = map_arrow(rows, lambda b, s=seeds: _count_rows(b, s), "seed long, texts long").groupBy("seed").agg(F.sum("texts").alias("texts"))
-        texts = np.zeros(len(seeds.seeds), np.int64)
-        for r in counted.collect():  # a row for each seed of the block at most
-            texts[r.seed] = r.texts
-        seeds.keep_rare(texts, rare_factor, rare_floor)
         found.append(map_arrow(rows, lambda b, s=seeds: _align_rows(b, s, threshold), _SCHEMA))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _SCHEMA)
