@@ -559,3 +559,24 @@ def test_word_arrays(texts, k):
     windows = window_hashes(h, k)[good]
     want = [tuple(t[i : i + k]) for t in lists for i in range(len(t) - k + 1)]
     assert (windows[:, None] == windows).tolist() == [[a == b for b in want] for a in want]
+
+
+def test_words_that_polynomials_confuse(spark):
+    x = "a"
+    for _ in range(10):  # each half is the other with its letters swapped
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    w = Words(*text_buffers(pa.array([f"{x} {y} {x}"])))
+    h, (high, low) = w.hashes(), w.digests(np.arange(3))
+    assert h[0] != h[1] and h[0] == h[2] and high[0] == high[2] != high[1] and low[0] == low[2] != low[1]
+    rows = [(1, " ".join([f"w{k}" for k in range(19)] + [x])), (2, " ".join([f"w{k}" for k in range(19)] + [y]))]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in got) == [(d, 0, t) for d, t in rows]
+
+
+def test_words_of_every_length():
+    texts = ["x" * k + " " + "y" * k for k in range(1, 300)] + ["x" * k for k in range(1, 300)]
+    w = Words(*text_buffers(pa.array(texts)))
+    flat = [t for x in texts for t in x.split()]
+    for got in (w.hashes(), *w.digests(np.arange(len(flat)))):
+        assert len(set(got.tolist())) == len(set(flat)) == len(set(zip(flat, got.tolist(), strict=True)))

@@ -3,10 +3,11 @@
 Anchors are hashes of ``anchor`` words at positions whose remainder modulo PERIOD lies in COVER, a difference cover:
 for any two positions there is a shift below PERIOD that takes both into the cover. So two equal windows share an
 anchor at the same shift, and a window without a repeated anchor can't be repeated. Anchors of the whole table, in
-buckets by hash, tell which ones repeat; only windows around those are extended to full hashes, whose earliest
-places decide. Texts are never shuffled: they are written once in blocks, every pass reads the blocks and gets
-back one bit for each hash that it sent. A block sends a hash once, however often it holds it, so a passage found
-in a third of all documents weighs no more than the number of blocks.
+buckets by hash, tell which ones repeat; only windows around those are extended to 128-bit digests of their words,
+whose earliest places decide. An anchor's 64-bit hash that two passages share by chance only leads to a look at both.
+Texts are never shuffled: they are written once in blocks, every pass reads the blocks and gets back one bit for each
+value that it sent. A block sends a value once, however often it holds it, so a passage found in a third of all
+documents weighs no more than the number of blocks: 8 bytes for 4 MB of text in the first pass, 32 in the second.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import filesystem, map_arrow, write_table
-from .wordarrays import U, Words, inside_rows, row_numbers, slices, text_buffers, window_hashes
+from .wordarrays import U, Words, inside_rows, row_numbers, slices, text_buffers, window_digests, window_hashes
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _FLAGS = "block long, part int, bucket int, bits binary"
+_SENT = ["bucket", "block", "hashes", "lower", "ids"]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -60,7 +62,7 @@ class _Block:
         self.ids = ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
     def extend(self, repeated: np.ndarray) -> None:
-        """Full hashes of the windows that hold a repeated anchor: distinct ones, and each one's earliest place."""
+        """Digests of the windows that hold a repeated anchor: distinct ones, and each one's earliest place."""
         n = len(self.hashes)
         hit = np.zeros(n + 1, np.int32)
         hit[self.at[(repeated | (self.count > 1))[self.which]]] = 1
@@ -68,52 +70,63 @@ class _Block:
         starts = np.arange(max(n - self.window + 1, 0))
         near = total[starts + PERIOD] > total[starts]
         self.starts = np.flatnonzero(near & inside_rows(self.words.first, self.window))
-        full = window_hashes(self.hashes, self.window)[self.starts]
+        high, low = window_digests(self.words.digests(np.flatnonzero(self._covered(self.starts))), self.starts, self.window)
         ids = self.ids[self.row[self.starts]]
-        order = np.lexsort((self.starts, ids, full))
-        sorted_full = full[order]
-        head = np.ones(len(order), bool)
-        head[1:] = sorted_full[1:] != sorted_full[:-1]
-        self.windows, self.owners = sorted_full[head], ids[order[head]]
+        order = np.lexsort((self.starts, ids, low, high))
+        head = _changes(high[order], low[order])
+        at = order[head]
+        self.windows, self.lower, self.owners = high[at], low[at], ids[at]
         self.order, self.head = order, head
 
     def removed(self, earliest: np.ndarray) -> np.ndarray:
         """Which words lie in a window that starts earlier elsewhere; ``earliest``: hashes whose first place is here."""
         stays = np.zeros(len(self.order), bool)
         stays[self.order[self.head]] = earliest
+        return self._covered(self.starts[~stays])
+
+    def _covered(self, starts: np.ndarray) -> np.ndarray:
+        """Which words lie in a window that begins at one of ``starts``."""
         edge = np.zeros(len(self.hashes) + 1, np.int32)
-        gone = self.starts[~stays]
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, np.minimum(gone + self.window, len(self.hashes)), -1)
+        edge[starts] += 1
+        edge[np.minimum(starts + self.window, len(self.hashes))] -= 1
         return np.cumsum(edge)[:-1] > 0
 
 
+def _changes(*values: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from those before; the first place does."""
+    out = np.ones(len(values[0]), bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in values], axis=0)
+    return out
+
+
 def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Offsets of each bucket in ascending hashes; a bucket is a range of the upper 32 bits."""
     upper = (hashes >> U(32)) * U(buckets) >> U(32)
     return np.searchsorted(upper, np.arange(buckets + 1, dtype=U))
 
 
-def _sent(block: int, hashes: np.ndarray, owners: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+def _sent(block: int, hashes: np.ndarray, buckets: int, *more: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: its hashes, and what goes with them."""
     cut = _buckets(hashes, buckets)
     full = np.flatnonzero(cut[1:] > cut[:-1])
-    parts = [hashes[cut[k] : cut[k + 1]].tobytes() for k in full]
-    ids = [owners[cut[k] : cut[k + 1]].tobytes() if owners is not None else b"" for k in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), block)), pa.array(parts, pa.binary()), pa.array(ids, pa.binary())], ["bucket", "block", "hashes", "ids"])
+    columns = [pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()) for x in (hashes, *more)]
+    columns += [pa.array([b""] * len(full), pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), block)), *columns], _SENT)
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """For each block's hashes in one bucket a bit: repeated in another block, or with ids, earliest here."""
+    """For each block's hashes in one bucket a bit: repeated in another block, or of digests with ids, earliest here."""
     blocks = table.column("block").to_numpy()
-    parts = [np.frombuffer(x.as_buffer(), U) for c in table.column("hashes").chunks for x in c]
-    ids = [np.frombuffer(x.as_buffer(), np.int64) for c in table.column("ids").chunks for x in c]
+    values = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c]
+    parts = values("hashes", U)
     sizes = np.array([len(x) for x in parts])
     hashes = np.concatenate(parts)
     flag = np.zeros(len(hashes), bool)
-    if sum(map(len, ids)):
-        order = np.lexsort((np.repeat(blocks, sizes), np.concatenate(ids), hashes))
-        s = hashes[order]
-        flag[order] = np.concatenate(([True], s[1:] != s[:-1]))
+    ids = np.concatenate(values("ids", np.int64))
+    if len(ids):
+        lower = np.concatenate(values("lower", U))
+        order = np.lexsort((np.repeat(blocks, sizes), ids, lower, hashes))
+        flag[order] = _changes(hashes[order], lower[order])
     else:
         order = np.argsort(hashes, kind="stable")
         s = hashes[order]
@@ -150,7 +163,7 @@ class _Flags:
         return out
 
 
-def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = 1 << 20, bucket_hashes: int = 1 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = 4 << 20, bucket_hashes: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed and kept, the words that stay joined by one space.
 
     A word goes if a window of ``window`` words over it, all in one row, has the same words as a window that starts
@@ -168,8 +181,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
     kind = f"block long, part int, bytes long, rows array<struct<id: bigint, text: string, rest: {rows.schema['rest'].dataType.simpleString()}>>"
     kept_rows, _ = write_table(map_arrow(rows, lambda b: _blocks(b, block_bytes), kind), "blocks")
     total = kept_rows.agg(F.sum("bytes")).first()[0] or 0
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle, int(total / 16 / bucket_hashes) + 1)  # a word takes some 5 bytes, 4 of 13 are anchors
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total / 16 / bucket_hashes) + 1)  # a word takes some 5 bytes, 4 of 13 are anchors
     slim = kept_rows.select("block", F.col("rows.id").alias("id"), F.col("rows.text").alias("text"))
 
     def blocks(batches):
@@ -179,12 +191,12 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
 
     def anchors(batches):
         for name, block in blocks(batches):
-            yield _sent(name, block.anchors, None, buckets)
+            yield _sent(name, block.anchors, buckets)
 
     def judged(fn, name):
-        sent = map_arrow(slim, fn, "bucket int, block long, hashes binary, ids binary")
+        sent = map_arrow(slim, fn, "bucket int, block long, hashes binary, lower binary, ids binary").repartition(buckets, "bucket")
         told = sent.groupBy("bucket").applyInArrow(_judge, _FLAGS)
-        return write_table(told.repartition(shuffle, "part"), name, "part")[1]
+        return write_table(told.repartition(buckets, "part"), name, "part")[1]
 
     first = judged(anchors, "repeats")
 
@@ -193,7 +205,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 20, id_column: str = "doc_
         for name, block in blocks(batches):
             block.extend(flags.of(name, block.anchors, buckets))
             if len(block.windows):
-                yield _sent(name, block.windows, block.owners, buckets)
+                yield _sent(name, block.windows, buckets, block.lower, block.owners)
 
     second = judged(windows, "earliest")
 

@@ -1,8 +1,10 @@
-"""Words of whole Arrow batches as numpy arrays: where they stand, to which row they belong, 64-bit hashes.
+"""Words of whole Arrow batches as numpy arrays: where they stand, to which row they belong, what they hash to.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, so multi-byte characters stay whole. Hashes are
-polynomials over bytes modulo 2**64 with an odd base, read off prefix sums and then mixed; windows of k words are
-hashed the same way over the words' hashes. Nothing loops over words in Python.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, so multi-byte characters stay whole. Hashes mix a word's
+bytes in eight at a time, each step a bijection, so words of up to eight bytes of one length never share one. Windows
+of k words come in two kinds: window_hashes() are quick polynomials over the words' hashes, for finding candidates,
+and window_digests() are 128 bits that chain the words' XXH3 digests one after another, for decisions. Only the
+distinct words of these are gone through in Python.
 """
 
 from __future__ import annotations
@@ -11,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_WORD_BASE, _STEP = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII but letters and digits separates words.
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LONG = 256  # longer words are hashed one by one
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # what belongs to a word in its last eight bytes
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,12 +94,47 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        up, down = powers(_BASE, n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * up[:n], dtype=U, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
+        """A 64-bit hash of each word's bytes: eight at a time are mixed in, by a bijection, for all words that have them."""
+        n = len(self.starts)
+        size = self.ends - self.starts
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        lanes = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(self.data) + 1, 8), (1, 1))
+        out = mix(size.astype(U) * _STEP)
+        which, at, left = np.arange(n), self.starts, size
+        for _ in range(_LONG // 8):
+            lane = np.ascontiguousarray(lanes[at]).view("<u8").ravel() & _TAILS[np.minimum(left, 8)]
+            out[which] = mix(out[which] ^ lane) + _STEP
+            more = left > 8
+            which, at, left = which[more], at[more] + 8, left[more] - 8
+            if not len(which):
+                break
+        for k in which.tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]].tobytes())
+        return out
+
+    def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digests of the words ``at``, as arrays of upper and lower halves over all words, else zero."""
+        n, size = len(self.starts), (self.ends - self.starts)[at]
+        halves = np.zeros((n, 2), U)
+        if len(at):
+            ends = np.concatenate(([0], np.cumsum(size)))
+            body = self.data[np.repeat(self.starts[at] - ends[:-1], size) + np.arange(ends[-1])]
+            coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(body)]).dictionary_encode()
+            raw = b"".join(xxhash.xxh3_128_digest(x.as_buffer()) for x in coded.dictionary)
+            halves[at] = np.frombuffer(raw, ">u8").astype(U).reshape(-1, 2)[coded.indices.to_numpy()]
+        return halves[:, 0], halves[:, 1]
+
+
+def window_digests(digests: tuple[np.ndarray, np.ndarray], starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests, in two halves, of the windows of k words at ``starts``: equal only for equal words."""
+    out = []
+    for half, seed in zip(digests, (U(1), U(2)), strict=True):
+        h = np.full(len(starts), seed, U)
+        for i in range(k):
+            h = mix((h + _STEP) ^ half[starts + i])
+        out.append(h)
+    return out[0], out[1]
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
