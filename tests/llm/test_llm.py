@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from viewflow.llm import queries as Q
 from viewflow.llm.components import connected_components
 from viewflow.llm.decontamination import align, contaminated
-from viewflow.llm.license_scan import PHRASES, license_scan
+from viewflow.llm.license_scan import NOTICES, PHRASES, license_scan
 from viewflow.llm.lm_scoring import fit_model, score_documents
 from viewflow.llm.packing import hilbert_key, pack_sequences
 from viewflow.llm.quality_classifier import quality_classifier
@@ -368,6 +368,38 @@ def test_substring_dedup_on_repetitive_texts(spark, texts, window):
 # 9
 
 
+def notice_labels(text, base, slack=3, share=0.7):
+    """(labels, score) by looking, for every diagonal that a notice's 3-gram lies on, for the others near it."""
+    words, found, best = ALNUM.findall(lower(text)), set(filter(None, base.split(","))), float(bool(base))
+    for t in NOTICES:
+        own = t.words.split()
+        hits = {(i - s, s) for s in range(len(own) - 2) for i in range(len(words) - 2) if words[i : i + 3] == own[s : s + 3]}
+        for centre in {d for d, _ in hits}:
+            covered = len({s for d, s in hits if abs(d - centre) <= slack}) / (len(own) - 2)
+            best = max(best, covered)
+            found |= {t.label} if covered >= share else set()
+    return ",".join(sorted(found)), best
+
+
+PIECES = ["licensed under the", "apache license", "version 2 0", "licensed under the apache license version 2 0", "released under the mit license", "cc by", "x", "the mit"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map(" ".join), min_size=1, max_size=12))
+def test_notices_on_repetitive_texts(spark, texts):
+    rows = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.labels, r.score) == notice_labels(texts[r.doc_id], r.base_labels)
+
+
+def test_repeated_openings_hide_no_notice(spark):
+    notice = "licensed under the apache license version 2 0"
+    texts = ["licensed under the " * 4 + notice, "licensed under the " * 6 + notice, "version 2 0 " * 6 + notice + " version 2 0" * 6]
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in got] == [("apache-2.0", 1.0)] * 3
+
+
 def test_license_scan(spark, texts, odd, none):
     def want(text):
         words, places, found = ALNUM.findall(lower(text)), [], set()
@@ -380,9 +412,11 @@ def test_license_scan(spark, texts, odd, none):
 
     for r in Q.op9_license_scan(spark, SF).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want(texts[r.doc_id])
-        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+        assert (r.labels, r.score) == notice_labels(texts[r.doc_id], r.base_labels)
     got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan(odd).collect())
     assert got == Counter((d, *want(t)) for d, t in ODD)
+    for r in license_scan(odd).collect():
+        assert (r.labels, r.score) == notice_labels(dict(ODD)[r.doc_id], r.base_labels) or r.doc_id in (None, 2)
     notice = spark.createDataFrame([(1, "Released under the MIT license."), (2, "licensed under the apache software license version 2.0"), (3, "released the license"), (4, "K by cc Kby")], "doc_id long, text string")
     assert {r.doc_id: r.labels for r in license_scan(notice, share=0.5).collect()} == {1: "mit", 2: "apache-2.0", 3: "", 4: ""}
     assert license_scan(none).count() == 0

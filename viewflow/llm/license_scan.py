@@ -1,9 +1,10 @@
 """Licence notices in running text, by diagonal voting, in Spark expressions alone.
 
 All rolling word k-grams of every text are hashed and joined to the k-grams of the templates. A hit votes for the
-diagonal (place in the text minus place in the template); votes are summed per text, template and diagonal,
-neighbouring diagonals are merged, so that a few inserted or missing words don't split a notice, and a span counts if
-enough of the template's places were hit close together. Short phrases have to be hit at every place.
+diagonal (place in the text minus place in the template); votes are summed per text, template and diagonal. Around
+each diagonal its neighbours up to ``slack`` away are merged, so that a few inserted or missing words don't split a
+notice, and a span counts if enough of the template's places were hit, each by the very words. Hits elsewhere, however
+many, neither help nor hinder a span. Short phrases have to be hit at every place, on one diagonal.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ NOTICES = (
 
 def _grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     """The templates' k-grams: 3 words, or 2 for a template of two; and one row that every text's marker meets."""
-    rows = [(0, "", "", "", -1, "", False, 0, 0, 0)]
+    rows = [(0, "", "", "", -1, "", False, 0, 0)]
     for number, t in enumerate(templates):
         words = t.words.split()
         k = min(3, len(words))
@@ -57,8 +58,8 @@ def _grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
             raise ValueError("a template has 2 to 62 words")
         for at in range(n):
             gram = [*words[at : at + k], ""][:3]
-            rows.append((k, *gram, number, t.label, t.exact, at, n, len(words)))
-    kind = "k int, t1 string, t2 string, t3 string, template int, label string, exact boolean, at int, grams int, length int"
+            rows.append((k, *gram, number, t.label, t.exact, at, n))
+    kind = "k int, t1 string, t2 string, t3 string, template int, label string, exact boolean, at int, grams int"
     made = spark.createDataFrame(rows, kind)
     return made.withColumn("h", _hash(F.col("k"), F.col("t1"), F.col("t2"), F.col("t3")))
 
@@ -71,8 +72,9 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NO
     """One row for each row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of exact templates and first_word and last_word are their smallest and largest start;
-    base_labels are theirs and labels all, distinct, sorted and comma-joined. score is the largest share of a template's
-    k-grams found in one span, 1 for a phrase. Null and empty texts have no words: zeros, null places, empty labels.
+    base_labels are theirs and labels all, distinct, sorted and comma-joined. A notice is there if ``share`` of its
+    k-grams stand within ``slack`` words of where one diagonal puts them; score is the largest such share of any notice,
+    1 for a phrase. Null and empty texts have no words: zeros, null places, empty labels.
     Rows of equal or null id each get a row; an empty table gives none; columns besides id and text are not read.
     The templates are a parameter of at most some thousands of k-grams, which bounds what is broadcast.
     """
@@ -94,26 +96,21 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NO
     own = lambda k: F.translate(F.col(f"w{k}"), UPPER, LOWER) == F.col(f"t{k}")
     exact = (F.col("k") == 0) | (own(1) & own(2) & ((F.col("k") == 2) | own(3)))
     hits = each.join(F.broadcast(grams), "h").where(exact)
-    place = [F.col(c) for c in ("row", "doc_id", "n_words", "template", "label", "exact", "grams", "length")]
-    votes = hits.groupBy(*place, (F.col("i") - F.col("at")).alias("diagonal")).agg(
-        F.expr("bit_or(shiftleft(1L, at))").alias("hit"), F.min("i").alias("low"), F.max("i").alias("high")
-    )
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    step = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > slack, F.lit(True))
-    merged = votes.withColumn("span", F.sum(step.cast("int")).over(order)).groupBy(*place, "span").agg(
-        F.expr("bit_or(hit)").alias("hit"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("start")
-    )
-    covered = F.bit_count("hit") / F.greatest("grams", F.lit(1))
+    place = [F.col(c) for c in ("row", "doc_id", "n_words", "template", "label", "exact", "grams")]
+    votes = hits.groupBy(*place, (F.col("i") - F.col("at")).alias("diagonal")).agg(F.expr("bit_or(shiftleft(1L, at))").alias("hit"))
+    around = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = votes.withColumn("span", F.when(F.col("exact"), F.col("hit")).otherwise(F.expr("bit_or(hit)").over(around)))
+    covered = F.bit_count("span") / F.greatest("grams", F.lit(1))
     is_text = F.col("template") >= 0
     base = is_text & F.col("exact") & (covered == 1)
-    close = F.col("high") - F.col("low") < F.col("length") + F.lit(slack)
-    found = base | (is_text & ~F.col("exact") & (covered >= share) & close)
+    notice = is_text & ~F.col("exact")
+    found = base | (notice & (covered >= share))
     labels = lambda which: F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
     return merged.groupBy("row", "doc_id", "n_words").agg(
         F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
+        F.min(F.when(base, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(base, F.col("diagonal"))).cast("long").alias("last_word"),
         labels(base).alias("base_labels"),
         labels(found).alias("labels"),
-        F.max(F.when(found | (is_text & ~F.col("exact") & close), covered).otherwise(0.0)).alias("score"),
+        F.max(F.when(base | notice, covered).otherwise(0.0)).alias("score"),
     ).drop("row")

@@ -101,27 +101,27 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, len(l) - coalesce(n, 0) AS n_r
 
 
 def _license_sql() -> str:
+    """From the definition: phrases are compared with every place's words, and for every diagonal on which a notice's
+    3-gram stands the notice's 3-grams standing within three words of it are counted."""
     from .license_scan import LOWER, NOTICES, PHRASES, UPPER
 
-    rows = []
-    for number, t in enumerate(PHRASES + NOTICES):
-        words = t.words.split()
-        k = min(3, len(words))
-        n = len(words) - k + 1
-        rows += [f"({number}, '{t.label}', {t.exact}, '{' '.join(words[at : at + k])}', {at}, {n}, {len(words)})" for at in range(n)]
+    phrases = ", ".join(f"('{t.label}', '{t.words}', {len(t.words.split())})" for t in PHRASES)
+    notices = ", ".join(f"({number}, '{t.label}', '{t.words}')" for number, t in enumerate(NOTICES))
     return rf"""
-WITH t(template, label, exact, gram, slot, grams, length) AS (VALUES {', '.join(rows)}),
+WITH p(label, phrase, n) AS (VALUES {phrases}), s(notice, label, words) AS (VALUES {notices}),
+t AS (SELECT notice, label, slot, array_to_string(string_split(words, ' ')[slot:slot + 2], ' ') AS gram, len(string_split(words, ' ')) - 2 AS grams FROM s, range(1, 40) r(slot) WHERE slot + 2 <= len(string_split(words, ' '))),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS l FROM documents),
-g AS (SELECT doc_id, i - 1 AS i, array_to_string(l[i:i + k - 1], ' ') AS gram FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d), (VALUES (2), (3)) v(k) WHERE i + k - 1 <= len(l)),
-v AS (SELECT doc_id, template, label, exact, grams, length, i - slot AS diagonal, bit_or(CAST(1 AS BIGINT) << slot) AS hit, min(i) AS low, max(i) AS high FROM g JOIN t USING (gram) GROUP BY ALL),
-o AS (SELECT *, sum(CAST(exact OR coalesce(diagonal - before > 3, true) AS INT)) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span
-      FROM (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM v)),
-m AS (SELECT doc_id, template, label, exact, length, bit_count(bit_or(hit)) / grams AS covered, min(low) AS low, max(high) AS high, min(diagonal) AS start FROM o GROUP BY doc_id, template, label, exact, grams, length, span),
-r AS (SELECT *, exact AND covered = 1 AS base, NOT exact AND high - low < length + 3 AS close FROM m),
-a AS (SELECT doc_id, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
-      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR (close AND covered >= 0.7)) AS labels, max(CASE WHEN base OR close THEN covered ELSE 0 END) AS score FROM r GROUP BY doc_id)
-SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN a USING (doc_id)"""
+w AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+b AS (SELECT doc_id, label, i - 1 AS pos FROM w JOIN p ON array_to_string(l[i:i + n - 1], ' ') = phrase),
+h AS (SELECT doc_id, notice, label, grams, slot, i - slot AS diagonal FROM (SELECT doc_id, i, array_to_string(l[i:i + 2], ' ') AS gram FROM w WHERE i + 2 <= len(l)) JOIN t USING (gram)),
+c AS (SELECT x.doc_id, x.label, count(DISTINCT h.slot) / x.grams AS covered FROM (SELECT DISTINCT doc_id, notice, label, grams, diagonal FROM h) x
+      JOIN h ON h.doc_id = x.doc_id AND h.notice = x.notice AND abs(h.diagonal - x.diagonal) <= 3 GROUP BY x.doc_id, x.notice, x.label, x.grams, x.diagonal),
+a AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+e AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM c WHERE covered >= 0.7) GROUP BY doc_id),
+f AS (SELECT doc_id, max(covered) AS score FROM (SELECT doc_id, covered FROM c UNION ALL SELECT doc_id, 1 FROM b) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN e USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
 
 #: Learned rules and weights, BPE ids, alignments and XXH64 fingerprints are beyond SQL; tests hold those against brute force.
