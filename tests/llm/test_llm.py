@@ -20,14 +20,14 @@ from viewflow.llm.components import connected_components
 from viewflow.llm.decontamination import align, contaminated
 from viewflow.llm.license_scan import NOTICES, PHRASES, license_scan
 from viewflow.llm.lm_scoring import fit_model, score_documents
-from viewflow.llm.packing import hilbert_key, pack_sequences
+from viewflow.llm.packing import Ranges, hilbert_key, pack_sequences
 from viewflow.llm.quality_classifier import quality_classifier
 from viewflow.llm.quality_rules import Condition, learn_rules, quality_rules
 from viewflow.llm.simhash_dedup import block_masks, close_pairs, fingerprint, links, near_duplicates, simhash_components
 from viewflow.llm.substring_dedup import COVER, PERIOD, substring_dedup
 from viewflow.llm.text_stats import COUNTS, with_statistics
 from viewflow.llm.token_counts import document_token_counts, token_counts
-from viewflow.llm.token_files import EliasFano, document_digests, read_token_files, token_folder, write_token_files
+from viewflow.llm.token_files import EliasFano, document_digests, documents_at, read_token_files, token_folder, write_token_files
 from viewflow.llm.tokens import coder
 from viewflow.llm.wordarrays import Words, inside_rows, text_buffers, window_hashes
 
@@ -207,12 +207,18 @@ def tokenizers():
     made = {}
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         made[name] = Tokenizer.from_file(public_tokenizers.path(name))
-        made[name].encode_special_tokens = True
     return made
 
 
+@pytest.fixture(scope="module")
+def plain_text_tokenizer():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
 def test_coder_is_the_tokenizer(tokenizers):
-    strange = [t for _, t in ODD] + ["can't. 'S, x'll!\n\n  z", "x,̸ y", "Σας ΣΑΣ. b  c", "ab́ ́ c", "\r\n\t a\x0bb", "İx ŉ ª1²"]
+    strange = [t for _, t in ODD] + ["can't. 'S, x'll!\n\n  z", "x,̸ y", "Σας ΣΑΣ. b  c", "ab́ ́ c", "\r\n\t a\x0bb", "İx ŉ ª1²", "a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
     for name, t in tokenizers.items():
         for i, _, ids, counts in coder(name).encode_rows(pa.array(strange, pa.string()), end=1):
             for text, got in zip(strange[i:], np.split(ids, np.cumsum(counts)[:-1]), strict=False):
@@ -228,8 +234,8 @@ def test_coder_on_any_text(strange):
         assert [x.tolist() for x in got] == [c.tokenizer.encode(t, add_special_tokens=False).ids for t in strange]
 
 
-def test_token_counts(spark, texts, odd, none, tokenizers):
-    t = tokenizers["word_bpe_49k.json"]
+def test_token_counts(spark, texts, odd, none, plain_text_tokenizer):
+    t = plain_text_tokenizer
     want = {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x in texts.items()}
     assert {r.doc_id: r.n_tokens for r in Q.op4_token_counts(spark, SF).collect()} == want
     got = document_token_counts(odd, token_folder(odd), "word_bpe_49k.json", 49407).collect()
@@ -252,8 +258,10 @@ def test_scan_stitches_blocks(spark, tmp_path):
 def test_elias_fano(values):
     values = np.sort(np.array(values, np.int64))
     made, rest = EliasFano.from_bytes(EliasFano.of(values).to_bytes() + b"rest")
-    assert made.all().tolist() == values.tolist() and rest == b"rest"
-    assert [made.select(i) for i in range(len(values))] == values.tolist()
+    assert rest == b"rest" and [made.select(i) for i in range(len(values))] == values.tolist()
+    for i in (0, len(values) // 3, len(values)):
+        for j in (i, (i + len(values)) // 2, len(values)):
+            assert made.slice(i, j).tolist() == values[i:j].tolist()
     with pytest.raises(IndexError):
         made.select(len(values))
 
@@ -270,6 +278,8 @@ def test_token_files(spark, texts, odd, none, tokenizers):
     assert [r.doc_id for r in rows] == sorted((d for d, _ in ODD), key=lambda d: (d is not None, d))
     assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows]])[:-1].tolist()
     assert Counter((r.doc_id, r.ids) for r in rows) == Counter((d, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, x in ODD)
+    wanted = spark.createDataFrame([(k,) for k in [*range(len(ODD)), 3, -1, len(ODD), None]], "place long")
+    assert Counter(tuple(r)[1:] for r in documents_at(manifest, wanted).collect()) == Counter([*map(tuple, rows), tuple(rows[3])])
     assert document_digests(write_token_files(none, token_folder(none), "word_bpe_49k.json", 2)).count() == 0
 
 
@@ -300,6 +310,21 @@ def test_packing(spark, docs, texts, odd, none, tokenizers):
     assert pack_sequences(none, "byte_bpe_50k.json", 1).count() == 0
 
 
+def test_equal_rows_are_spread(spark):
+    text = "the same words again " * 200
+    df = spark.createDataFrame([(None, text)] * 400 + [(k, f"other {k}") for k in range(100)], "doc_id long, text string").repartition(4)
+    pieces = pack_sequences(df, "byte_bpe_50k.json", 1)
+    rows = pieces.collect()
+    parts = Counter(r.sequence_id >> 40 for r in rows if r.start == 0 and r.doc_id is None)
+    assert sum(parts.values()) == 400 and len(parts) == 4 and max(parts.values()) < 200
+    ranges, again = Ranges([5, 5, 5, 9]), Ranges([5, 5, 5, 9])
+    places, ties = np.array([5, 5, 5, 4, 9, 10, 5]), np.array([7, 7, 8, 1, 2, 3, 7])
+    order = np.array([6, 2, 0, 1, 5, 4, 3])
+    first = Counter(zip(ties.tolist(), ranges.of(places, ties).tolist(), strict=True))
+    assert first == Counter(zip(ties[order].tolist(), again.of(places[order], ties[order]).tolist(), strict=True))
+    assert set(Ranges([5, 5, 5, 9]).of(np.full(50, 5), np.arange(50)).tolist()) == {0, 1, 2, 3}
+
+
 def test_hilbert_neighbours_are_neighbours():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = hilbert_key(cells, 3)

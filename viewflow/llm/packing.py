@@ -2,7 +2,7 @@
 
 Each document's words are hashed into a vector, projected to a few dimensions by a fixed random matrix and placed on a
 Hilbert curve; documents are range-partitioned and sorted by their place, concatenated and cut every ``length`` ids.
-The rest of a partition is cut at powers of two, which need no padding.
+Ranges hold about as many bytes of text each. The rest of a partition is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from .tokens import coder
 from .wordarrays import U, Words, mix, row_numbers, slices, text_buffers
 
 DIMS, BITS, HASHED = 4, 10, 64
+_WEIGHT = 4096
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -65,37 +66,61 @@ def curve_places(texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(b: pa.RecordBatch) -> np.ndarray:
+    """Places on the curve, and after them, for copies, 12 bits of the row's hash: 52 bits, which doubles hold exactly."""
+    tie = b.column("tie").to_numpy().view(U)
+    return curve_places(b.column("text")) << 12 | (mix(tie) & U((1 << 12) - 1)).astype(np.int64)
+
+
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's place, once for every _WEIGHT bytes that it begins."""
     for b in batches:
-        tie = b.column("tie").to_numpy().view(U) >> U(40)
-        place = curve_places(b.column("text")) << 23 | (mix(tie) & U((1 << 23) - 1)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(place)], ["doc_id", "text", "place"])
+        size = np.diff(text_buffers(b.column("text"))[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(_places(b), 1 + size // _WEIGHT))], ["place"])
+
+
+class Ranges:
+    """Deals places out to ranges; a place that fills several is spread over them.
+
+    Rows of such a place go in turn, counted for each row's hash, so a task that runs again deals out the same number
+    of equal rows to each range, whatever order it meets them in.
+    """
+
+    def __init__(self, bounds: list[int]):
+        self.bounds, self.met = np.array(bounds, np.int64), {}
+
+    def of(self, places: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, out = np.searchsorted(self.bounds, places, "left"), np.searchsorted(self.bounds, places, "right")
+        for k in np.flatnonzero(out - low > 1).tolist():
+            tie = int(ties[k])
+            turn = self.met[tie] = self.met.get(tie, -1) + 1
+            out[k] = low[k] + (tie + turn) % (out[k] - low[k] + 1)
+        return out
 
 
 def pack_sequences(docs: DataFrame, tokenizer: str, end: int, *, length: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, 32-bit), doc_tokens, sequence_id, offset.
 
     A document's ids, then ``end``, lie in pieces in order, each id in one piece. Every sequence has ``length`` ids
-    or a power of two of them, so none is padded. Copies share a place on the curve; a hash of the whole row splits
-    them over partitions. Null texts are empty (the end id alone), null and equal ids are packed like others, an
-    empty table gives no rows, and columns besides id and text are not read.
+    or a power of two of them, so none is padded. Copies share a place on the curve; a hash of id and text splits them
+    over partitions, and rows that are equal altogether are dealt out in turn. Null texts are empty (the end id alone),
+    special tokens' strings become these tokens, null and equal ids are packed like others, an empty table gives no
+    rows, and columns besides id and text are not read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("doc_id"))
-    kind = "doc_id long, text string, place long"
-    n = partitions_for(rows)
-    placed = map_arrow(rows, _places, kind, tokenizes=True)  # the next pass needs the memos again
-    bounds = range_bounds(placed, "place", n)
+    rows = rows.withColumn("tie", F.xxhash64("doc_id", "text"))
+    weighed = map_arrow(rows, _weights, "place long", tokenizes=True)  # the next pass needs the memos again
+    bounds = range_bounds(weighed, "place", partitions_for(rows))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, ends = coder(tokenizer), np.array(bounds, np.int64)
-        for b in _places(batches):
+        code, ranges = coder(tokenizer), Ranges(bounds)
+        for b in batches:
+            places = _places(b)
+            parts = ranges.of(places, b.column("tie").to_numpy())
             for i, j, ids, counts in code.encode_rows(b.column("text"), end):
                 at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * code.width.itemsize
                 packed = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(at), pa.py_buffer(ids.tobytes())])
-                place = b.column("place").slice(i, j - i)
-                part = pa.array(np.searchsorted(ends, place.to_numpy(), "right"))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), place, part, packed], ["doc_id", "place", "part", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(places[i:j]), pa.array(parts[i:j]), packed], ["doc_id", "place", "part", "packed"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = coder(tokenizer).width

@@ -106,15 +106,19 @@ def filesystem(uri: str):
 
 
 def partitions_for(df: DataFrame, target_bytes: int = 32 << 20) -> int:
-    """How many partitions keep one near ``target_bytes`` of input, and spark.sql.shuffle.partitions at least."""
+    """How many partitions keep one near ``target_bytes`` of input, and spark.sql.shuffle.partitions at least.
+
+    200,000 at most, as many bounds of ranges as the driver can hold: from 6 TB on, partitions grow instead.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(200_000, math.ceil(size / target_bytes))) if size < 1 << 55 else least
 
 
-def range_bounds(df: DataFrame, column: str, n: int) -> list:
-    """Up to n - 1 ascending split points of a numeric column, from Spark's mergeable quantile sketch."""
+def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
+    """n - 1 ascending split points of a numeric column, from Spark's mergeable quantile sketch; a value that many rows
+    have stands there several times. An empty table has none."""
     if n < 2:
         return []
     found = df.select(column).approxQuantile(column, [i / n for i in range(1, n)], min(0.001, 0.25 / n))
-    return sorted({int(x) for x in found})
+    return sorted(int(x) for x in found)

@@ -25,14 +25,15 @@ def write_flat_files(docs: DataFrame, folder: str, tokenizer: str, end: int, *,
     """Write one flat file for each partition; the files (file, ids, width), and whose documents they hold.
 
     The second table has (file, ordinal, doc_id): the files themselves don't know ids. A retried task writes a file
-    of another name, and only files that a committed task reported are in the tables. Null texts are empty.
+    of another name, and only files that a committed task reported are in the tables. Null texts are empty. Strings of
+    special tokens are ordinary text here, since the end id must stand nowhere but at ends.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, name, n, total, out = coder(tokenizer), f"{uuid.uuid4().hex}.ids", 0, 0, None
+        code, name, n, total, out = coder(tokenizer, special_as_text=True), f"{uuid.uuid4().hex}.ids", 0, 0, None
         fs, root = filesystem(folder)
         for b in batches:
             out = out or fs.open_output_stream(posixpath.join(root, name))

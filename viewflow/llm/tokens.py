@@ -3,16 +3,19 @@
 A batch is cut only where every pre-tokenizer of the supported files cuts as well: before a space or line feed that
 follows a visible character, and between an ASCII letter and ASCII punctuation other than an apostrophe. Arrow's
 dictionary encoder reduces the pieces to distinct ones, the tokenizers library encodes those not met before, and
-numpy gathers the ids. The ids are those of encoding the whole text at once.
+numpy gathers the ids. The ids are those of encoding the whole text at once. What strings of special tokens become is
+the caller's choice: the tokens themselves, as the library does unless told otherwise, or ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .wordarrays import slices, text_buffers
 
@@ -32,7 +35,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def coder(name: str, special_as_text: bool = True) -> Coder:
+def coder(name: str, special_as_text: bool = False) -> Coder:
     """This process's coder for a tokenizer file; its memo lives as long as the process."""
     key = (name, special_as_text)
     if key not in _coders:
@@ -52,9 +55,12 @@ def _byte_chars() -> dict[int, int]:
 
 
 class Coder:
-    """Encodes columns of text; ``memo_entries`` bounds the pieces remembered, not what is encoded."""
+    """Encodes columns of text; ``memo_entries`` bounds the pieces remembered, not what is encoded.
 
-    def __init__(self, name: str, special_as_text: bool = True, memo_entries: int = 500_000):
+    Texts with a special token's string in them are encoded whole, unless ``special_as_text``.
+    """
+
+    def __init__(self, name: str, special_as_text: bool = False, memo_entries: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,6 +68,8 @@ class Coder:
         self.tokenizer.encode_special_tokens = special_as_text
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.model = self.tokenizer.model
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = None if special_as_text or not special else "|".join(map(re.escape, special))
         self.lower = "lowercase" in str(self.tokenizer.normalizer).lower()
         self.byte_chars = _byte_chars()
         self.memo: dict[str, bytes] = {}
@@ -70,8 +78,17 @@ class Coder:
     def encode_rows(self, column: pa.Array, end: int | None = None):
         """Yield (rows from, rows to, ids of these rows one after another, ids per row), slice by slice."""
         data, offsets = text_buffers(column)
+        whole = np.zeros(0, np.int64)
+        if self.special:
+            whole = np.flatnonzero(pc.match_substring_regex(column, self.special, ignore_case=self.lower).fill_null(False).to_numpy(zero_copy_only=False))
         for i, j in slices(offsets):
             ids, counts = self._slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            own = whole[(whole >= i) & (whole < j)]
+            if len(own):
+                rows = np.split(ids, np.cumsum(counts)[:-1])
+                for r in own.tolist():
+                    rows[r - i] = np.array(self.tokenizer.encode(column[r].as_py(), add_special_tokens=False).ids, self.width)
+                ids, counts = np.concatenate(rows), np.array([len(x) for x in rows], np.int64)
             if end is not None:
                 ids = np.insert(ids, np.cumsum(counts), self.width.type(end))
                 counts = counts + 1
