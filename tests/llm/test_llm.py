@@ -23,7 +23,7 @@ from viewflow.llm.lm_scoring import fit_model, score_documents
 from viewflow.llm.packing import Ranges, hilbert_key, pack_sequences
 from viewflow.llm.quality_classifier import quality_classifier
 from viewflow.llm.quality_rules import Condition, learn_rules, quality_rules
-from viewflow.llm.simhash_dedup import block_masks, close_pairs, fingerprint, links, near_duplicates, simhash_components
+from viewflow.llm.simhash_dedup import block_masks, close_pairs, fingerprint, links, near_duplicates, simhash_components, without_near_duplicates
 from viewflow.llm.substring_dedup import COVER, PERIOD, substring_dedup
 from viewflow.llm.text_stats import COUNTS, with_statistics
 from viewflow.llm.token_counts import document_token_counts, token_counts
@@ -533,7 +533,21 @@ def test_near_duplicates(spark, odd, none):
     assert got == {d: d // 4 * 4 for d, _ in rows}
     out = near_duplicates(odd).collect()
     assert len(out) == len(ODD) and {r.component_id for r in out if r.doc_id in (1, 2)} == {1}
-    assert near_duplicates(none).count() == 0
+    assert near_duplicates(none).count() == 0 and without_near_duplicates(none).count() == 0
+    kept = without_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.where("label <> 'clash'").count() == 0
+    rows = Counter((r.doc_id, r.text) for r in kept.collect())
+    words = lambda t: tuple((t or "").lower().encode().split())
+    alike = {(1, LONG), (6, "x " + LONG + " y")}  # 41 of 43 windows of five words
+    assert rows - Counter({(3, None): 1}) == Counter({(d, t): 1 for d, t in {x for x in ODD if words(x[1])} - {(2, LONG), (6, "x " + LONG + " y")}}), (rows, alike)
+    assert rows[3, None] == 1 and len({words(t) for _, t in ODD}) - 1 == len(rows)
+
+
+def test_rows_of_one_id_count_one_by_one(spark):
+    text, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(7, text), (7, text), (7, other), (None, text), (None, "c " * 30), (None, "c " * 30)]
+    kept = without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(7, text), (7, other), (None, "c " * 30)])
 
 
 def near_components(rows, similarity=0.8):

@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import map_arrow, write_table
+from .components import connected_components, of_root
+from .shared import map_arrow, partitions_for, write_table
 from .wordarrays import U, mix, slices, text_buffers
 
 PIVOTS = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -137,7 +137,7 @@ def links(distinct: DataFrame, *, max_bits: int = 2, blocks: int = 6, bucket_cap
     """
     if not 1 <= max_bits <= 2:
         raise ValueError("the detour for crowded deals holds for one or two bits")
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(distinct, 1 << 20)  # a fingerprint goes to as many deals as there are masks
     masks = block_masks(max_bits, blocks)
     deals = F.array(*[F.xxhash64(F.lit(k), F.col("fingerprint").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)])
     dealt = distinct.select("fingerprint", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "fingerprint")
@@ -159,16 +159,21 @@ def simhash_components(docs: DataFrame, *, shingle_words: int = 3, max_bits: int
     of equal id each get a row; an empty table gives no rows; columns besides id and text are not read.
     """
     rows, _ = write_table(fingerprints(docs, shingle_words=shingle_words, id_column=id_column, text_column=text_column), "fingerprints")
-    distinct = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(distinct.select("fingerprint"), max_bits=max_bits))
-    placed = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    placed = placed.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = placed.join(smallest, "root").select("fingerprint", "component_id")
+    nodes, _ = write_table(rows.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("least")), "nodes")
+    roots, _ = write_table(connected_components(links(nodes.select(F.col("node").alias("fingerprint")), max_bits=max_bits)), "roots")
+    told = _component_ids(nodes, roots).withColumnRenamed("node", "fingerprint")
     out = rows.join(told, "fingerprint", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _component_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) of ``nodes`` (node, least): a component's smallest id, or a node's own without links."""
+    linked = nodes.join(roots, "node")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
+    told = of_root(linked.select("node", "root"), smallest).select("node", F.lit(True).alias("linked"), "smallest")
+    return nodes.join(told, "node", "left").select("node", F.when(F.col("linked"), F.col("smallest")).otherwise(F.col("least")).alias("component_id"))
+
+
 WIDE = 8  # 64-bit parts of a wide fingerprint
 _CROWD = 16  # a deal's pairs are sent on up to so many members; beyond, its members' shingles come to the deal
 
@@ -311,8 +316,31 @@ def _crowds(batches: Iterator[pa.RecordBatch], limit: int, similarity: float) ->
         yield close()
 
 
-def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tables: int = 96, table_bits: int = 20, crowd: int = _CROWD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row, grouping texts whose word shingles have a similarity of ``similarity``.
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest id of the row's group, see _groups()."""
+    used = docs.select(*[F.col(f"`{settings.get(k, d)}`") for k, d in (("id_column", "doc_id"), ("text_column", "text"))])
+    prints, nodes, roots = _groups(used, **settings)
+    told = _component_ids(nodes.select("node", F.col("first.doc_id").alias("least")), roots)
+    return prints.select("doc_id", "node").join(told, "node", "left").select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row of each group of near duplicates, with all of its columns: the one of smallest id, see _groups().
+
+    Rows count one by one, whatever their ids: of equal rows, and of rows with equal ids in one group, one stays; rows
+    of equal id in different groups all stay; a row with a null id stays only in a group without ids. Texts without
+    words are one group. An empty table gives no rows.
+    """
+    prints, nodes, roots = _groups(docs, **settings)
+    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    text, kinds = settings.get("text_column", "text"), dict(docs.dtypes)
+    own = lambda c: F.col("text").cast(kinds[c]) if c == text else F.col(f"rest.`{c}`")
+    return prints.join(stays, "row", "left_semi").select(*[own(c).alias(c) for c in docs.columns])
+
+
+def _groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tables: int = 96, table_bits: int = 20, crowd: int = _CROWD, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, nodes and (node, root) of texts grouped by a similarity of ``similarity`` of their word shingles.
 
     Two rows link if the Jaccard similarity of their sets of distinct shingles is ``similarity`` or more, and groups
     are what links connect. Candidates come from fingerprints: sets of similarity s differ in a share
@@ -338,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: floa
                 values = shingle_values(raw[i:j], shingle_words)
                 node[r], size[r], found[r] = xxhash.xxh64_intdigest(values.tobytes()), len(values), wide_fingerprint(values)
             columns = [pa.array(node.view(np.int64)), pa.array(size), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WIDE)]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), *columns], ["doc_id", "text", "node", "size", *parts])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], ["doc_id", "text", "rest", "node", "size", *parts])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -348,12 +376,15 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: floa
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    made = map_arrow(rows, compute, "doc_id long, text string, node long, size long, " + ", ".join(f"{p} long" for p in parts))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column])
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"), rest.alias("rest"))
+    kinds = f"doc_id long, text string, rest {docs.select(rest.alias('r')).schema['r'].dataType.simpleString()}, node long, size long, "
+    made = map_arrow(rows, compute, kinds + ", ".join(f"{p} long" for p in parts))
     prints, _ = write_table(made.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    # a node is a set of shingles; one row's text stands for it
-    nodes, _ = write_table(prints.groupBy("node", "size", *parts).agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "nodes")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a node is a set of shingles; one row's text stands for it, the one of smallest id, a null id being the largest
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes, _ = write_table(prints.groupBy("node", "size", *parts).agg(F.min(order).alias("first")), "nodes")
+    n = partitions_for(nodes, 1 << 20)  # a node goes to as many deals as there are tables
     deals = F.array(*[F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(parts, masks, strict=True) if m]) for t, masks in enumerate(_table_masks(tables, table_bits))])
     dealt = nodes.where("size > 0").select("node", "f0", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "node")
     found, _ = write_table(map_arrow(dealt, lambda b: _candidates(b, first_limit, crowd), "a long, b long, deal long"), "candidates")
@@ -364,7 +395,8 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: floa
     pairs, _ = write_table(pairs.select("a", "b", "a_size", "b_size"), "pairs")
     crowded = found.where("b is null").select(F.col("a").alias("node"), "deal")
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
-    texts = prints.select("row", "node", "text").join(nodes.join(need, "node", "left_semi").select("row"), "row", "left_semi")
+    chosen = nodes.join(need, "node", "left_semi").select(F.col("first.row").alias("row"))
+    texts = prints.select("row", "node", "text").join(chosen, "row", "left_semi")
     sets, _ = write_table(map_arrow(texts.select("node", "text"), spell, "node long, shingles array<long>"), "shingles")
     own = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
     both = F.size(F.array_intersect("a_shingles", "b_shingles"))
@@ -372,8 +404,5 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, similarity: floa
     edges = checked.where(F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both")) >= F.lit(similarity)).select("a", "b")
     members = crowded.join(nodes.select("node", *parts), "node").join(sets, "node").repartition(n, "deal").sortWithinPartitions("deal", "node")
     joined = map_arrow(members.select("deal", "node", *parts, "shingles"), lambda b: _crowds(b, limit, similarity), "a long, b long")
-    roots = connected_components(edges.unionByName(joined))
-    placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = placed.join(smallest, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(told, "node", "left").select("doc_id", "component_id")
+    roots, _ = write_table(connected_components(edges.unionByName(joined)), "roots")
+    return prints, nodes, roots

@@ -59,7 +59,9 @@ def token_counts(files: DataFrame, end: int, *, block_ids: int = 1 << 20) -> Dat
     empty file has no documents; two end ids in a row close an empty document.
     """
     blocks = files.where("ids > 0").select("file", "ids", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(ids - 1) div {block_ids}"))).alias("block"))
-    spread = blocks.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file", "block")
+    total = files.agg(F.sum("ids")).first()[0] or 0
+    n = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, total // (8 * block_ids)))
+    spread = blocks.repartition(n, "file", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
