@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from viewflow.llm import queries as Q
 from viewflow.llm.components import connected_components
-from viewflow.llm.decontamination import align, contaminated
+from viewflow.llm.decontamination import Filter, align, contaminated, without_contaminated
 from viewflow.llm.license_scan import NOTICES, PHRASES, license_scan
 from viewflow.llm.lm_scoring import fit_model, score_documents
 from viewflow.llm.packing import Ranges, hilbert_key, pack_sequences
@@ -147,12 +147,17 @@ def test_contaminated(spark, docs, texts, odd, none):
     got = {(r.doc_id, r.item_id): r for r in Q.op2_decontamination(spark, SF).collect()}
     known = [(r.item_id, r.text) for r in items.collect()]
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
-    for d, text in texts.items():
-        for i, item in known:
-            a, b = split(item), split(text)
-            if set(zip(a, a[1:], a[2:], a[3:], strict=False)) & set(zip(b, b[1:], b[2:], b[3:], strict=False)):
-                share = plain_alignment(a, b) / (2 * len(a)) if len(b) < 400 or item in text else 0
-                assert ((d, i) in got) == (share >= 0.5), (d, i, share)
+    code = {}
+    number = lambda t: np.array([code.setdefault(w, len(code) + 1) for w in split(t)], np.uint64)
+    numbered = {i: number(t) for i, t in known}
+    for d, text in texts.items():  # every pair, whether or not it shares a seed
+        own = number(text)
+        score, _ = align([numbered[i] for i, _ in known], [own] * len(known)) if len(own) else (np.zeros(len(known)), None)
+        for (i, item), best in zip(known, score.tolist(), strict=True):
+            share = best / (2 * len(numbered[i]))
+            assert ((d, i) in got) == (share >= 0.5), (d, i, share)
+            if share >= 0.5:
+                assert got[d, i].score == pytest.approx(share)
     for (d, i), r in got.items():
         own = split(texts[d])[r.start_word : r.end_word]
         assert plain_alignment(split(dict(known)[i]), own) / (2 * len(split(dict(known)[i]))) == pytest.approx(r.score)
@@ -162,7 +167,10 @@ def test_contaminated(spark, docs, texts, odd, none):
     tests = spark.createDataFrame([(1, LONG), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
     (found,) = contaminated(rows, tests).collect()
     assert found.doc_id == 1 and found.start_word == 1 and found.end_word == 44 and found.score > 0.85
-    assert sorted(map(tuple, contaminated(rows, tests, block_chars=50).collect())) == [tuple(found)]
+    assert {(r.doc_id, r.text) for r in without_contaminated(odd, tests).collect()} == {(d, t) for d, t in ODD if t not in (LONG, "x " + LONG + " y")}
+    clean = without_contaminated(odd, tests)
+    assert clean.columns == odd.columns and clean.where("label <> 'clash'").count() == 0 and without_contaminated(none, tests).count() == 0
+    assert contaminated(spark.createDataFrame([(1, "the cat and the dog")], "doc_id long, text string"), spark.createDataFrame([(1, "the"), (2, "the dog")], "item_id long, text string")).count() == 0
     assert {r.doc_id for r in contaminated(odd, tests).collect()} == {1, 2, 6}
     assert contaminated(none, tests).count() == 0 and contaminated(odd, tests.where("false")).count() == 0
 
@@ -175,6 +183,32 @@ def test_edited_copies_in_many_texts(spark):
     assert sorted(r.doc_id for r in got) == list(range(1000)) and {r.score for r in got} == {91 / 120}
 
 
+def test_recall_of_edited_items(spark):
+    rng, rows, want = np.random.default_rng(2), [], {}
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    for k, (i, text) in enumerate(items * 3):
+        words, share = text.split(), (0.1, 0.2, 0.25)[k // len(items)]
+        for at in rng.choice(len(words), int(share * len(words)), replace=False):
+            words[at] = f"new{rng.integers(10**6)}"
+        rows.append((k, " ".join(["before"] * 30 + words + ["after"] * 30)))
+        want[k] = i
+    every = [" ".join(f"new{k}" if k % 4 == 3 else w for k, w in enumerate(t.split())) for _, t in items]
+    rows += [(1000 + k, t) for k, t in enumerate(every)]
+    want |= {1000 + k: i for k, (i, _) in enumerate(items)}
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for low, high, least in ((0, len(items), 0.99), (len(items), 2 * len(items), 0.97), (2 * len(items), 3 * len(items), 0.9), (1000, 2000, 0.95)):
+        own = [(d, want[d]) in got for d, _ in rows if low <= d < high]
+        assert np.mean(own) >= least, (low, np.mean(own))
+
+
+def test_filter_lets_every_seed_pass(spark):
+    values = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
+    told = Filter.of(spark.createDataFrame([(int(v),) for v in values], "seed long"))
+    some = np.concatenate((values, np.arange(1000))).view(np.uint64)
+    assert told.hits(some).tolist() == list(range(5000))
+    assert set(range(5000)) <= set(Filter(told.bits, None).hits(some).tolist())
+
+
 # 3
 
 

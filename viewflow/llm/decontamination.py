@@ -1,15 +1,19 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join texts to test items, Smith-Waterman alignment scores the passages.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, lower-cased, so case and punctuation don't
-matter. Seeds are the test items' word n-grams, and every one leads to a passage, however many texts hold it. A passage
-without enough of its item's words to reach the threshold is left out, which loses nothing; the others are aligned to
-their items with numpy: insertions, deletions and replaced words cost a little.
+matter. Seeds are the items' word n-grams. One pass over the texts finds where seeds stand, and Spark joins these
+places to the items on the seed's hash. N-grams are rare enough as they are: every seed leads to a passage, however
+many texts hold it, since an edited copy may have kept only frequent ones. Seeds around one place are one passage.
+Passages without enough of their item's words to reach the threshold are left out, which loses nothing; the others are aligned
+to their items with numpy: insertions, deletions and replaced words cost a little.
+
+What the tasks of the first pass get is a filter of fixed size over the seeds' hashes, and the sorted hashes as well
+up to EXACT of them; beyond that, some n-grams that are no seeds pass the filter and find nothing in the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow
+from .shared import map_arrow, write_table
 from .wordarrays import PUNCTUATION, U, Words, inside_rows, row_numbers, slices, text_buffers, window_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-_SCHEMA = "doc_id long, item_id long, score double, start_word long, end_word long"
+FILTER_BITS, EXACT = 1 << 24, 1 << 22
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -32,45 +36,9 @@ def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_buffers(pc.utf8_lower(column))
 
 
-class Seeds:
-    """N-grams of some items, sorted by hash, with the places where items hold them."""
-
-    def __init__(self, ids: list[int | None], texts: list[str], n: int):
-        words = _words(*_lower(pa.array(texts, pa.string())))
-        self.ids, self.hashes, self.first = ids, words.hashes(), words.first
-        size = np.diff(self.first)
-        found = []
-        for k in np.unique(np.minimum(size[size > 0], n)).tolist():  # items shorter than n words are one seed
-            at = np.flatnonzero(inside_rows(self.first, k))
-            row = row_numbers(self.first)[at]
-            mine = (size[row] >= n) if k == n else (size[row] == k)
-            found.append((window_hashes(self.hashes, k)[at[mine]], row[mine], at[mine] - self.first[row[mine]], np.full(int(mine.sum()), k)))
-        h, item, place, k = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
-        order = np.lexsort((place, item, h))
-        self.item, self.place = item[order], place[order]
-        self.seeds, at, self.uses = np.unique(h[order], return_index=True, return_counts=True)
-        self.at, self.kinds = at, np.unique(k).tolist()
-        self.filter = self._filter()
-
-    def _filter(self) -> np.ndarray:
-        table = np.zeros(1 << 20, bool)
-        table[(self.seeds & U((1 << 20) - 1)).astype(np.int64)] = True
-        return table
-
-    def hits(self, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the words, number of the seed) of every seed."""
-        places, numbers = [], []
-        for k in self.kinds:
-            own = window_hashes(hashes, k)
-            at = np.flatnonzero(self.filter[(own & U((1 << 20) - 1)).astype(np.int64)])
-            seed = np.searchsorted(self.seeds, own[at])
-            seed[seed == len(self.seeds)] = 0
-            good = (self.seeds[seed] == own[at]) & inside_rows(words.first, k)[at] if len(self.seeds) else np.zeros(0, bool)
-            places.append(at[good])
-            numbers.append(seed[good])
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(places), np.concatenate(numbers)
+def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A binary for each row: its values, eight bytes each."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer((first - first[0]) * 8), pa.py_buffer(values[first[0] : first[-1]].tobytes())]).cast(pa.binary())
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,87 +67,131 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def passages(words: Words, hashes: np.ndarray, seeds: Seeds, pad: float = 0.5) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, first word, word after the last) of each stretch of text to align; near stretches are merged."""
-    place, seed = seeds.hits(words, hashes)
-    if not len(place):
-        return
-    uses = seeds.uses[seed]
-    which = np.repeat(seeds.at[seed] - np.cumsum(uses) + uses, uses) + np.arange(uses.sum())
-    place, item, at = np.repeat(place, uses), seeds.item[which], seeds.place[which]
-    row = row_numbers(words.first)[place]
-    size = np.diff(seeds.first)[item]
-    room = (size * pad).astype(np.int64) + 4
-    low = np.maximum(place - at - room, words.first[row])
-    high = np.minimum(place - at + size + room, words.first[row + 1])
-    order = np.lexsort((low, item, row))
-    now = None
-    for r, i, a, b in zip(row[order].tolist(), item[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
-        if now and now[:2] == [r, i] and a <= now[3] and b - now[2] <= 16 * (b - a):
-            now[3] = max(now[3], b)
-        else:
-            if now:
-                yield tuple(now)
-            now = [r, i, a, b]
-    yield tuple(now)
-
-
-def _can_reach(passage: tuple[int, int, int, int], hashes: np.ndarray, seeds: Seeds, threshold: float) -> bool:
-    """Whether the passage holds so many of the item's words that an alignment could reach the threshold."""
-    _, item, low, high = passage
-    own = seeds.hashes[seeds.first[item] : seeds.first[item + 1]]
-    return np.count_nonzero(np.isin(own, hashes[low:high])) >= threshold * len(own)
-
-
-def _align_rows(batches: Iterator[pa.RecordBatch], seeds: Seeds, threshold: float) -> Iterator[pa.RecordBatch]:
+def item_seeds(items: DataFrame, n: int) -> DataFrame:
+    """(item, item_id, words, seeds): each item's word hashes and, for every place, its n-gram's hash, as binaries.
+
+    An item of fewer than ``n`` words has no seed.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = _words(*_lower(b.column("text")))
+            hashes, first = words.hashes(), words.first
+            seeds = [window_hashes(hashes[i:j], n).view(np.int64) for i, j in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), _binary(hashes, first), pa.array(seeds, pa.list_(pa.int64()))], ["item_id", "words", "seeds"])
+
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(known, read, "item_id long, words binary, seeds array<long>").withColumn("item", F.monotonically_increasing_id())
+
+
+class Filter:
+    """Tells n-grams that may be seeds: a table of hash bits, and where they are few enough the hashes themselves."""
+
+    def __init__(self, bits: np.ndarray, exact: np.ndarray | None):
+        self.bits, self.exact = bits, exact
+
+    @classmethod
+    def of(cls, seeds: DataFrame) -> Filter:
+        """From a table's column ``seed``; at most FILTER_BITS / 64 numbers and EXACT hashes reach the driver."""
+        slot = F.col("seed").bitwiseAND(FILTER_BITS - 1)
+        words = seeds.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63 as int)))").alias("word")).toArrow()
+        bits = np.zeros(FILTER_BITS // 64, U)
+        bits[words.column("at").to_numpy()] = words.column("word").to_numpy().view(U)
+        some = seeds.select("seed").distinct().limit(EXACT + 1).toArrow().column("seed").to_numpy().view(U)
+        return cls(bits, np.sort(some) if len(some) <= EXACT else None)
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of n-grams that may be seeds."""
+        slot = hashes & U(FILTER_BITS - 1)
+        at = np.flatnonzero((self.bits[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1))
+        if self.exact is not None and len(at):
+            near = np.minimum(np.searchsorted(self.exact, hashes[at]), len(self.exact) - 1)
+            at = at[self.exact[near] == hashes[at]]
+        return at
+
+
+def _places(batches: Iterator[pa.RecordBatch], seeds: Filter, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows with a seed: their id, their words' hashes, and the seeds with their places."""
     for batch in batches:
         data, offsets = _lower(batch.column("text"))
-        ids = batch.column("doc_id").to_pylist()
-        best: dict[tuple[int, int], tuple] = {}
         for i, j in slices(offsets):
             words = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             hashes = words.hashes()
-            found = sorted((x for x in passages(words, hashes, seeds) if _can_reach(x, hashes, seeds, threshold)), key=lambda x: x[3] - x[2])
-            for at in range(0, len(found), 256):
-                part = found[at : at + 256]
-                own = [seeds.hashes[seeds.first[x[1]] : seeds.first[x[1] + 1]] for x in part]
-                text = [hashes[x[2] : x[3]] for x in part]
-                score, end = align(own, text)
-                share = score / np.array([MATCH * len(x) for x in own])
-                good = np.flatnonzero(share >= threshold)
-                if not len(good):
-                    continue
-                _, back = align([own[k][::-1] for k in good], [text[k][: end[k]][::-1] for k in good])
-                for k, length in zip(good.tolist(), back.tolist(), strict=True):
-                    row, item, low, _ = part[k]
-                    start = low + int(end[k]) - length - int(words.first[row])
-                    value = (float(share[k]), -start, start, start + length)
-                    best[i + row, item] = max(best.get((i + row, item), value), value)
-        if best:
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([ids[r] for r, _ in best], pa.int64()), "item_id": pa.array([seeds.ids[k] for _, k in best], pa.int64()),
-                "score": [v[0] for v in best.values()], "start_word": [v[2] for v in best.values()], "end_word": [v[3] for v in best.values()],
-            })
-
-
-def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, seed_words: int = 4, block_chars: int = 4 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+            own = window_hashes(hashes, n)
+            at = seeds.hits(own)
+            at = at[inside_rows(words.first, n)[at]]
+            if not len(at):
+                continue
+            row = row_numbers(words.first)[at]
+            held, start = np.unique(row, return_index=True)
+            cut = pa.array(np.append(start, len(at)).astype(np.int32))
+            texts = pa.array([hashes[words.first[r] : words.first[r + 1]].tobytes() for r in held.tolist()], pa.binary())
+            columns = [batch.column("doc_id").take(pa.array(held + i)), texts, pa.ListArray.from_arrays(cut, pa.array(own[at].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array((at - words.first[row]).astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "seeds", "places"])
+
+
+def _align_rows(batches: Iterator[pa.RecordBatch], threshold: float, cells: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, item, item_id, low, own, passage): the alignments that reach the threshold."""
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), U) for x in batch.column("own")]
+        text = [np.frombuffer(x.as_buffer(), U) for x in batch.column("passage")]
+        # an alignment that reaches the threshold matches so many of the item's words
+        able = [k for k in range(len(own)) if np.count_nonzero(np.isin(own[k], text[k])) >= threshold * len(own[k])]
+        able.sort(key=lambda k: len(text[k]))
+        out, at = [], 0
+        while at < len(able):
+            to = at + 1
+            while to < len(able) and (to + 1 - at) * len(text[able[to]]) <= cells:
+                to += 1
+            part, at = able[at:to], to
+            score, end = align([own[k] for k in part], [text[k] for k in part])
+            share = score / np.array([MATCH * len(own[k]) for k in part])
+            good = np.flatnonzero(share >= threshold)
+            if len(good):
+                _, back = align([own[part[g]][::-1] for g in good], [text[part[g]][: end[g]][::-1] for g in good])
+                out += [(part[g], float(share[g]), int(end[g]) - int(length), int(end[g])) for g, length in zip(good.tolist(), back.tolist(), strict=True)]
+        if out:
+            kept = batch.take(pa.array([k for k, *_ in out]))
+            low = kept.column("low").to_numpy()
+            columns = [pa.array([x[1] for x in out]), pa.array(low + [x[2] for x in out]), pa.array(low + [x[3] for x in out])]
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("row", "doc_id", "item", "item_id")], *columns], ["row", "doc_id", "item", "item_id", "score", "start_word", "end_word"])
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, seed_words: int = 3, pad: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) for every row and item whose alignment reaches ``threshold``.
 
     score is the best local alignment's score as a share of the item's own, and the words from start_word up to
-    end_word hold it. Items go through in blocks of about ``block_chars`` characters, each block against all rows, so
-    what is sent to executors is bounded however many items there are. Null and empty texts and items match nothing;
-    an item of fewer than ``seed_words`` words is one seed; repeated rows and ids each count; columns besides id and
-    text are not read.
+    end_word hold it; of equal scores the first place counts. A copy is found if it keeps ``seed_words`` consecutive
+    words of its item. Null and empty texts and items match nothing, nor do items of fewer than ``seed_words`` words,
+    which are too short to tell a copy from chance; repeated rows and ids each count; columns besides id and text are
+    not read. Texts are gone through once, however many items there are.
+    """
+    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    known, _ = write_table(item_seeds(items, seed_words), "items")
+    seeds = known.select("item", F.posexplode("seeds").alias("at", "seed"), F.expr("length(words) div 8").alias("size"))
+    told = Filter.of(seeds)
+    found = map_arrow(rows, lambda b: _places(b, told, seed_words), "doc_id long, words binary, seeds array<long>, places array<long>")
+    seen, _ = write_table(found.withColumn("row", F.monotonically_increasing_id()), "places")
+    hits = seen.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
+    start = F.col("place") - F.col("at")
+    met = hits.join(seeds, "seed").select("row", "item", "size", start.alias("start"), F.floor(start / F.col("size")).alias("part"))
+    # seeds of one item that put its beginning at places less than its length apart are one passage
+    near = met.groupBy("row", "item", "size", "part").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    room = F.floor(F.col("size") * pad) + 4
+    near = near.select("row", "item", F.greatest(F.col("low") - room, F.lit(0)).alias("low"), (F.col("high") + F.col("size") + room).alias("high"))
+    texts = seen.select("row", "doc_id", "words").join(near, "row").withColumn("passage", F.expr("substring(words, cast(8 * low + 1 as int), cast(8 * (high - low) as int))")).drop("words")
+    pairs = texts.join(known.select("item", "item_id", F.col("words").alias("own")), "item").select("row", "doc_id", "item", "item_id", "low", "own", "passage")
+    scored = map_arrow(pairs, lambda b: _align_rows(b, threshold), "row long, doc_id long, item long, item_id long, score double, start_word long, end_word long")
+    best = F.max(F.struct("score", (-F.col("start_word")).alias("back"), "end_word", "doc_id", "item_id"))
+    return scored.groupBy("row", "item").agg(best.alias("b")).select("b.doc_id", "b.item_id", "b.score", (-F.col("b.back")).alias("start_word"), "b.end_word")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that hold no item, by contaminated(), with all of their columns.
+
+    Rows are judged one by one, by a number of their own and not by their ids; rows with null or empty texts stay.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    blocks = int((known.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars) + 1
-    found = []
-    for k in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        held = sorted(part.collect(), key=lambda r: (r.item_id is not None, r.item_id, r.text))  # about block_chars
-        if not held:
-            continue
-        seeds = Seeds([r.item_id for r in held], [r.text for r in held], seed_words)
-        found.append(map_arrow(rows, lambda b, s=seeds: _align_rows(b, s, threshold), _SCHEMA))
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _SCHEMA)
+    name = "_" * (max(map(len, docs.columns)) + 1)
+    rows, _ = write_table(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    gone = contaminated(rows, items, **{**settings, "id_column": name}).select(F.col("doc_id").alias(name)).distinct()
+    return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
