@@ -1,4 +1,10 @@
-"""A training-corpus pipeline in five stages; each stage gets the rows that the one before it kept."""
+"""A training-corpus pipeline in five stages; each stage gets the rows that the one before it kept.
+
+Rows count one by one, whatever their ids: no stage drops a row for what another row of its id holds. A null or empty
+text fails the first stage; the others, given one, keep it (near-dedup keeps one of all texts without words). Null ids
+are ids like others, though the last to stay in a group of near duplicates. An empty table gives no rows in any stage,
+and columns other than those of ``documents`` are left out.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewflow.llm.decontamination import contaminated
+from viewflow.llm.decontamination import without_contaminated
 from viewflow.llm.packing import pack_sequences, piece_digests
 from viewflow.llm.quality_rules import quality_rules
 from viewflow.llm.shared import write_table
-from viewflow.llm.simhash_dedup import near_duplicates
+from viewflow.llm.simhash_dedup import without_near_duplicates
 from viewflow.llm.substring_dedup import substring_dedup
 from viewflow.session import make_importable
 
@@ -19,20 +25,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base or a learned rule rejects go."""
+    """Documents that the base or a learned rule rejects go, those without text among them."""
     labels = make_importable(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, labels).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of smallest id stays."""
-    groups = near_duplicates(docs, shingle_words=5, similarity=0.8)
-    gone = groups.where("doc_id > component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates, the document of smallest id stays; of equal ids, one."""
+    return without_near_duplicates(docs.select(*COLUMNS), shingle_words=5, similarity=0.8)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out after their first place; texts without any stay as they are."""
+    """Repeated passages are cut out after their first place; texts without any, null ones too, stay as they are."""
     found = substring_dedup(docs.select(*COLUMNS), window=20)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     out = found.withColumn("text", text)
@@ -42,12 +46,11 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or an edited copy of one, go."""
     items = make_importable(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without_contaminated(docs.select(*COLUMNS), items)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids along the curve, a row for each piece."""
+    """Sequences of 2048 ids along the curve, a row for each piece; a null text is the end id alone."""
     return piece_digests(pack_sequences(docs, "byte_bpe_50k.json", 1))
 
 
