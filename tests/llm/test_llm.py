@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,11 +22,11 @@ from viewflow.llm.decontamination import Filter, align, contaminated, without_co
 from viewflow.llm.license_scan import NOTICES, PHRASES, license_scan
 from viewflow.llm.lm_scoring import fit_model, score_documents
 from viewflow.llm.packing import Ranges, hilbert_key, pack_sequences
-from viewflow.llm.quality_classifier import quality_classifier
-from viewflow.llm.quality_rules import Condition, learn_rules, quality_rules
+from viewflow.llm.quality_classifier import fit_classifier, quality_classifier
+from viewflow.llm.quality_rules import Condition, fit_quality_rules, learn_rules, quality_rules
 from viewflow.llm.simhash_dedup import block_masks, close_pairs, fingerprint, links, near_duplicates, simhash_components, without_near_duplicates
 from viewflow.llm.substring_dedup import COVER, PERIOD, substring_dedup
-from viewflow.llm.text_stats import COUNTS, with_statistics
+from viewflow.llm.text_stats import COUNTS, FEATURES, labelled_sample, with_statistics
 from viewflow.llm.token_counts import document_token_counts, token_counts
 from viewflow.llm.token_files import EliasFano, document_digests, documents_at, read_token_files, token_folder, write_token_files
 from viewflow.llm.tokens import coder
@@ -108,6 +109,49 @@ def test_quality_rules(spark, labels, odd, none):
     assert quality_rules(none, no_labels).count() == 0
 
 
+def features(text):
+    text = text or ""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    n, chars, count = max(1, len(words)), max(1, sum(map(len, words))), max(1, len(lines))
+    _, c, symbols, dup, repeats = statistics(text)
+    among = lambda allowed: sum(x in allowed for x in text)
+    return {
+        "words": np.log1p(len(words)), "word_length": c / n, "symbols": symbols / chars, "dup_lines": dup / count, "repeats": repeats / n, "distinct": len(set(words)) / n,
+        "capitals": among(string.ascii_uppercase) / chars, "marks": among("!?.,;:") / n, "line_words": np.log1p(len(words) / count), "digits": among(string.digits) / chars,
+    }
+
+
+def test_verdicts_and_scores_by_hand(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {r.doc_id: r for r in with_statistics(docs).collect()}
+    for d, r in held.items():
+        assert {f: r[f"f_{f}"] for f in FEATURES} == pytest.approx(features(texts[d]), rel=1e-12, abs=1e-12)
+    rules, ranking = fit_quality_rules(docs, labels), fit_classifier(docs, labels)
+    assert rules and ranking.steps
+    numbers = {f: np.array([held[d][f"f_{f}"] for d in texts]) for f in FEATURES}
+    first = [None] * len(texts)
+    for k, rule in enumerate(rules):
+        covered = np.logical_and.reduce([c.holds(numbers) for c in rule])
+        first = [k if old is None and new else old for old, new in zip(first, covered, strict=True)]
+    got = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
+    for d, rule in zip(texts, first, strict=True):
+        n, _, _, _, repeats = statistics(texts[d])
+        assert got[d].rule == rule and got[d].kept == (n >= 20 and 100 * repeats <= 30 * n and rule is None)
+    strength = sum(np.where(numbers[f] >= bound, gain, 0.0) for f, bound, gain in ranking.steps)
+    want = 1 / (1 + np.exp(-(strength - ranking.threshold + np.log(0.7 / 0.3))))
+    scores = {r.doc_id: r.score for r in quality_classifier(docs, labels).collect()}
+    assert [scores[d] for d in texts] == pytest.approx(want.tolist(), rel=1e-9)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    rows = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(k, "x") for k in range(2, 60)] + [(None, "y")], "doc_id long, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(60)] * 3 + [(None, 1), (5, None)], "doc_id long, quality int")
+    for n in (5, 20, 1000):
+        got = labelled_sample(rows, known, "quality", n).collect()
+        assert len(got) <= n and len({r.doc_id for r in got}) == len(got) and all(r["_label"] == r.doc_id % 2 for r in got)
+
+
 def test_learned_list():
     rng = np.random.default_rng(0)
     x, y = rng.random(3000), rng.random(3000)

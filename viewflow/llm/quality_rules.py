@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import COUNTS, FEATURES, labelled_sample, with_statistics
+from .text_stats import COUNTS, FEATURES, collected, labelled_sample, with_statistics
 
 
 @dataclass(frozen=True)
@@ -119,11 +119,10 @@ def fit_quality_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 20_
 
     Without labels of both kinds the list is empty.
     """
-    stats = with_statistics(labelled_sample(docs.select("doc_id", "text"), labels, "quality", fit_rows))
-    rows = stats.where(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id").select("_label", *[f"f_{f}" for f in FEATURES]).collect()
-    if not rows:
+    stats = with_statistics(labelled_sample(docs, labels, "quality", fit_rows))
+    values = collected(stats.where(~base_failed()))
+    if not len(values):
         return []
-    values = np.array([list(r) for r in rows], float)
     return learn_rules({f: values[:, k + 1] for k, f in enumerate(FEATURES)}, values[:, 0] == 0, **learning)
 
 

@@ -6,8 +6,7 @@ for each element.
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +77,22 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> DataFrame:
-    """The documents of at most ``rows`` labelled ids, with ``label`` as 0 or 1; the ids come in hash order.
+    """(doc_id, text, _label, _order) of at most ``rows`` labelled ids, with ``label`` as 0 or 1.
 
-    The bound is what makes the broadcast safe. Null ids and null labels are no labels; an id labelled more than once
-    takes the majority, 1 on a tie.
+    The ids of smallest hash are taken, and of an id's texts the one of smallest hash, so there is one row for each id
+    and the bound holds whatever repeats. It is what makes the broadcast safe. Null ids and null labels are no labels;
+    an id labelled more than once takes the majority, 1 on a tie. Sort by _order for an order that doesn't vary.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
     if learn is not None:
         known = known.where(learn)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(known), "doc_id")
+    known = known.withColumn("_order", F.xxhash64("doc_id")).orderBy("_order", "doc_id").limit(rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "_label", "_order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def collected(sample: DataFrame) -> np.ndarray:
+    """A labelled sample's rows in order: the label, then the FEATURES."""
+    rows = sample.select("_order", "doc_id", "_label", *[f"f_{f}" for f in FEATURES]).collect()
+    return np.array([list(r)[2:] for r in sorted(rows, key=lambda r: (r["_order"], r["doc_id"]))], float).reshape(len(rows), len(FEATURES) + 1)
