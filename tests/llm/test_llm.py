@@ -256,27 +256,68 @@ def test_filter_lets_every_seed_pass(spark):
 # 3
 
 
+def plain_log_probability(model, counts, words, k):
+    """log p of the k-th of some words' hashes, from the definition; ``counts`` by hash."""
+    net, own = model.network.net, model.network
+    numbers = own.numbers(words)
+    around = [numbers[k + s] if 0 <= k + s < len(words) else own.edge for s in (-2, -1, 1, 2)]
+    h = np.tanh(np.concatenate([net["embed"][a] for a in around]) @ net["hidden"] + net["hidden_bias"])
+    p = np.exp(h @ net["out"] + net["out_bias"])
+    p /= p.sum()
+    if numbers[k] >= own.known:
+        return np.log(p[-1]) + np.log((counts.get(int(words[k].astype(np.int64)), 0) + 1) / (model.other_occurrences + model.other_words + 1))
+    c, slot = divmod(int(numbers[k]), own.per_class)
+    q = np.exp(h @ net["inner"][c] + net["inner_bias"][c])
+    return np.log(p[c]) + np.log(q[slot] / q.sum())
+
+
+SMALL = {"classes": 6, "per_class": 8, "masked": 3}
+
+
 def test_scores(spark, docs, odd, none):
-    model = fit_model(docs, rounds=2)
-    plain = fit_model(docs, rounds=0)
+    model = fit_model(docs, **SMALL)
+    counts = {r.word: r.n for r in model.counts.collect()}
     got = {r.doc_id: r for r in score_documents(docs, model).collect()}
-    total = lambda m: docs and sum(r.log_likelihood for r in score_documents(docs, m).collect())
-    assert total(model) > total(plain)
-    mass = np.bincount(model.classes, np.exp(model.within))
-    assert np.allclose(mass[np.unique(model.classes)], 1)
-    for r in docs.limit(5).collect():
-        w = Words(*text_buffers(pa.array([r.text])), lower=True)
-        n = model.numbers(w.hashes())
-        around = np.array([[n[k + s] if 0 <= k + s < len(n) else model.edge for s in (-2, -1, 1, 2)] for k in range(len(n))]).reshape(-1, 4)
-        z = np.tanh(model.net["embed"][around].reshape(len(n), -1) @ model.net["hidden"] + model.net["hidden_bias"]) @ model.net["out"] + model.net["out_bias"]
-        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        assert got[r.doc_id].log_likelihood == pytest.approx((np.log(p[np.arange(len(n)), model.classes[n]]) + model.within[n]).sum(), rel=1e-4)
+    for r in docs.limit(3).collect():
+        w = Words(*text_buffers(pa.array([r.text])), lower=True).hashes()
+        want = sum(plain_log_probability(model, counts, w, k) for k in range(len(w)))
+        assert got[r.doc_id].n_tokens == len(w) and got[r.doc_id].log_likelihood == pytest.approx(want, rel=1e-4)
     out = score_documents(odd, model).collect()
     assert len(out) == len(ODD) and all((r.score is None) == (r.n_tokens == 0) for r in out)
     empty = fit_model(none)
     assert score_documents(none, empty).count() == 0 and score_documents(odd, empty).count() == len(ODD)
 
 
+def test_probabilities_sum_to_one(spark, docs):
+    model = fit_model(docs, **SMALL)
+    counts = {r.word: r.n for r in model.counts.collect()}
+    words = np.array(sorted(counts), np.int64).view(np.uint64)
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        window = rng.choice(words, 5)
+        total = 0.0
+        for w in [*words.tolist(), 12345]:  # every word of the corpus, and one that it doesn't have
+            window[2] = w
+            total += np.exp(plain_log_probability(model, counts, window, 2))
+        assert total == pytest.approx(1, rel=1e-4)
+
+
+def test_model_beats_single_words_and_ignores_partitions(spark):
+    rng, rows = np.random.default_rng(5), []
+    for d in range(400):  # each word tells its neighbours
+        start = rng.integers(0, 60, 40)
+        rows.append((d, " ".join(f"a{s} b{(7 * s + 3) % 60} c{(s * s) % 60}" for s in start)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fit, held = df.where("doc_id < 300"), df.where("doc_id >= 300")
+    settings = {"classes": 16, "per_class": 16, "masked": 2, "rounds": 2, "rate": 0.3}
+    total = lambda m: sum(r.log_likelihood for r in score_documents(held, m).collect())
+    plain, model = fit_model(fit, **settings | {"rounds": 0}), fit_model(fit.repartition(3), **settings)
+    assert total(model) > total(plain) + 0.2 * abs(total(plain))
+    for shard in (4000, 1000):
+        a, b = (fit_model(fit.repartition(n), **settings, shard_windows=shard).network.net for n in (2, 7))
+        assert all(np.array_equal(a[k], b[k]) for k in a)
+
+
 # 4, 5 and 8
 
 
