@@ -1,9 +1,16 @@
 """Sources, views, workflows, the fluent form, programs and streams."""
 
+import csv
 import io
 import math
+import random
+import tempfile
+from functools import partial
+from pathlib import Path
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from viewflow import recipes, sources, streaming
@@ -35,6 +42,60 @@ def test_lines_csv_and_blocks(spark, tmp_path):
         sources.read_lines(spark, "../x")
 
 
+FIELD = st.text(st.sampled_from('ab ;"\n\r,\''), max_size=5)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(FIELD, min_size=1, max_size=4), max_size=6), st.sampled_from([{}, {"delimiter": ";"}, {"quotechar": "'"}]))
+def test_csv_is_the_csv_module(spark, rows, options):
+    out = io.StringIO()
+    csv.writer(out, **options).writerows(rows)
+    with tempfile.TemporaryDirectory() as folder:
+        Path(folder, "x.csv").write_bytes(out.getvalue().encode())
+        got = sources.read_csv(spark, folder, **options).collect()
+    assert [r.value for r in got] == list(csv.reader(io.StringIO(out.getvalue(), newline=""), **options))
+
+
+def test_csv_widths(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('1,"x ""y"" z"\n"a\nb",,\n\n3\n')
+    path = str(tmp_path / "c.csv")
+    rows = lambda **o: [r.value for r in sources.read_csv(spark, path, **o).collect()]
+    assert rows() == [["1", 'x "y" z'], ["a\nb", "", ""], [], ["3"]]
+    assert rows(columns=3) == [["1", 'x "y" z', None], ["a\nb", "", ""], [None] * 3, ["3", None, None]]
+    with pytest.raises(Exception, match="has 3 fields, over 2"):
+        rows(columns=2)
+    with pytest.raises(TypeError):
+        rows(inferSchema=True)
+    (tmp_path / "d.csv").write_text("1,2\n3\n" * 50)
+    assert sources.read_csv(spark, str(tmp_path / "d.csv"), multiline=False).count() == 100
+
+
+def plain_blocks(text, is_end):
+    now, out = [], []
+    for line in io.StringIO(text, newline="\n"):
+        if is_end(line.removesuffix("\n")):
+            out.append(now)
+            now = []
+        else:
+            now.append(line.removesuffix("\n"))
+    return out + [now] if now else out
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text("ab\n", max_size=12), min_size=1, max_size=4), st.sampled_from(["", "a"]))
+def test_blocks_are_the_generators(spark, texts, end):
+    with tempfile.TemporaryDirectory() as folder:
+        for k, text in enumerate(texts):
+            Path(folder, f"f{k}").write_text(text)
+        got = sources.read_blocks(spark, folder, is_end=None if end == "" else lambda line: line == end).collect()
+        small = spark.newSession()
+        small.conf.set("spark.sql.files.maxPartitionBytes", "3")
+        split = sources.read_blocks(small, folder, is_end=None if end == "" else lambda line: line == end).collect()
+    want = sorted((f"f{k}", n, lines) for k, text in enumerate(texts) for n, lines in enumerate(plain_blocks(text, lambda x: x == end)))
+    for rows in (got, split):
+        assert sorted((r.path.rsplit("/", 1)[1], r.block, r.lines) for r in rows) == want
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, s string")
     assert sources.save_text(df, str(tmp_path / "x"), F.format_string("%d-%s", "n", "s")) == 2
@@ -104,6 +165,43 @@ def test_stored_views_and_options(spark, tmp_path):
         Stored.xs.opts(colour=1)
 
 
+def test_definitions_tell_what_they_do(spark, tmp_path):
+    xs = Wrap([(k,) for k in range(6)], "value long")
+    of = lambda reducer: Group(xs, by="value", reducing=reducer).lineage()
+    times = lambda n: lambda v: v * n
+    assert of(ReduceTo.adding(0.15, lambda v: v * v)) != of(ReduceTo.adding(0, lambda v: v))
+    assert of(ReduceTo.adding(0, times(2))) == of(ReduceTo.adding(0, times(2))) != of(ReduceTo.adding(0, times(3)))
+    assert of(ReduceToCount()) == of(ReduceToCount()) != of(ReduceToSum())
+    mapped = lambda f: ReplaceEach(xs, by=f, schema="long").lineage()
+    plus = lambda v, n=1: v + n
+    assert mapped(plus) == mapped(plus) != mapped(lambda v, n=2: v + n)
+    assert mapped(times(2)) != mapped(times(4)) and mapped(partial(plus, n=1)) != mapped(partial(plus, n=2))
+    assert mapped(lambda v: [x + 1 for x in [v]][0]) != mapped(lambda v: [x + 2 for x in [v]][0])
+    where = str(tmp_path)
+
+    def flow(n, **given):
+        class Scaled(Workflow):
+            out = xs | ReplaceEach(by=times(n), schema="long")
+
+        return Scaled(spark, viewdir=where, **given)
+
+    flow(2).store("out")
+    assert values(flow(2, reuse=["out"]).view("out")) == [0, 2, 4, 6, 8, 10]
+    with pytest.raises(ValueError):
+        flow(3, reuse=["out"]).view("out")
+
+
+def test_options_from_outside(spark, tmp_path):
+    flow, out = Numbers(spark, viewdir=str(tmp_path)), io.StringIO()
+    assert cli.run(flow, ["--opts", "low.stored=true", "--opts", "low.parallel=3", "--opts", "compression=gzip", "--store", "both", "--steps", "both"], out) == 0
+    assert f"store low at {tmp_path}/low" in out.getvalue() and len(list((tmp_path / "low").glob("part-*.gz.parquet"))) <= 3
+    assert flow.view("low").rdd.getNumPartitions() == 3 and flow.settings(flow.definition("high")) == {"compression": "gzip"}
+    with pytest.raises(TypeError):
+        flow.set_options({"low.colour": 1})
+    with pytest.raises(KeyError):
+        flow.set_options({"nothing.stored": True})
+
+
 def test_command_line(spark, tmp_path):
     flow, out = Numbers(spark, viewdir=str(tmp_path)), io.StringIO()
     assert cli.run(flow, ["--cat", "both", "--pprint", "both", "--list", "--params", "k=3"], out) == 0
@@ -189,6 +287,25 @@ def test_vectors(spark):
     assert {(1, 1), (2, 2), (3, 3)} <= {(r.doc1, r.doc2) for r in pruned.collect()}
 
 
+def test_prefixes_lose_no_pair(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcdefghijklmnop") * rng.choice([1, 1, 2]) for _ in range(rng.randint(1, 8)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vectors = {}
+    for r in recipes.vectors.relation_vectors(df, "doc_id", "text").collect():
+        vectors.setdefault(r.doc, {})[r.term] = r.tf * r.weight
+    for least in (0.2, 0.6):
+        want = {(a, b) for a, x in vectors.items() for b, y in vectors.items() if sum(x[t] * y[t] for t in x.keys() & y.keys()) > least + 1e-9}
+        got = {(r.doc1, r.doc2) for r in recipes.soft_join(df, df, "doc_id", "doc_id", least=least).collect() if r.sim > least + 1e-9}
+        assert got == want
+
+
+def test_lines_of_programs(spark):
+    docs = spark.createDataFrame([(2, "B a", "x"), (1, None, "y"), (3, "c", None)], "doc_id long, text string, k string")
+    assert sorted(r.value for r in recipes.normalised_lines(docs, "doc_id", "k").collect()) == ["rcv000001.txt\ty", "rcv000002.txt\tx\tb\ta", "rcv000003.txt\t\tc"]
+    assert sorted(r.value for r in recipes.tfidf_lines(recipes.tfidf(docs)).collect()) == ["2\ta\t0.707", "2\tb\t0.707", "3\tc\t1.000"]
+
+
 def test_pagerank(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
     got = dict(map(tuple, recipes.pagerank(edges, rounds=1).collect()))
@@ -205,6 +322,7 @@ def test_streams(spark, tmp_path):
     got = streaming.run_to_table(counted, str(tmp_path / "w"), str(tmp_path / "ws"), "complete")
     assert sorted((r.start.hour, r.u, r.n) for r in got.collect()) == [(h, u, 2) for h in range(3) for u in "uv"]
     sessions = streaming.by_session(stream(), "at", ["u"], "25 minutes", "10 minutes")
-    assert sessions.isStreaming
+    got = streaming.run_to_table(sessions, str(tmp_path / "s"), str(tmp_path / "ss"), "complete").collect()
+    assert sorted((r.start.hour, r.start.minute, r.end.hour, r.end.minute, r.u, r.n) for r in got) == [x for h in range(3) for x in ((h, 0, h, 45, "v", 2), (h, 10, h, 55, "u", 2))]
     first = streaming.run_to_table(streaming.first_of_each(stream(), "at", ["u"], "5 hours"), str(tmp_path / "d"), str(tmp_path / "ds"))
     assert first.count() == 2

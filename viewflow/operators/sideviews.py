@@ -1,7 +1,7 @@
 """Side views: small relations that every row gets to see.
 
-Nothing is broadcast unchecked: a side view's rows are counted first, up to the limit, and a larger one is refused or
-joined by shuffling instead.
+Nothing is broadcast unchecked: a side view is computed once, up to the limit, and its rows and bytes are counted; a
+larger one is refused or joined by shuffling instead.
 """
 
 from __future__ import annotations
@@ -10,14 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
 from .columns import By, expressions, one
 
-LIMIT = 1_000_000
+LIMIT, BYTES = 1_000_000, 64 << 20
 
 
-def fits(side: DataFrame, limit: int = LIMIT) -> bool:
-    """Whether a relation has at most ``limit`` rows; reads no more than that."""
-    return side.limit(limit + 1).count() <= limit
+def measured(side: DataFrame, limit: int = LIMIT, most_bytes: int = BYTES) -> tuple[DataFrame, bool]:
+    """(relation, whether it has at most ``limit`` rows and ``most_bytes`` of values).
+
+    No more than ``limit`` rows are computed; if that is all of them, the relation returned is what was computed.
+    """
+    some = checkpointed(side.limit(limit + 1))
+    n, size = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return (some, size <= most_bytes) if n <= limit else (side, False)
 
 
 def only_row(side: DataFrame, name: str = "side") -> DataFrame:
@@ -33,8 +39,9 @@ def augment(df: DataFrame, *sides: DataFrame, names: list[str] | None = None, lo
     names = names or (["side"] if len(sides) == 1 else [f"side{k + 1}" for k in range(len(sides))])
     out = df
     for name, side in zip(names, sides, strict=True):
-        if not fits(side, limit):
-            raise ValueError(f"side view {name} has over {limit} rows; join it instead")
+        side, small = measured(side, limit)
+        if not small:
+            raise ValueError(f"side view {name} has over {limit} rows or {BYTES} bytes; join it instead")
         out = out.crossJoin(F.broadcast(side.agg(F.sort_array(F.collect_list(F.struct("*"))).alias(name))))  # one row
     return out if loaded_by is None else out.withColumn(names[0] if len(names) == 1 else "side", loaded_by).drop(*names[1:])
 
@@ -47,10 +54,11 @@ def augment_row(df: DataFrame, side: DataFrame, name: str = "side") -> DataFrame
 def augment_lookup(df: DataFrame, side: DataFrame, key: Column | str, side_key: str, value: str, name: str = "looked_up", strict: bool = False, limit: int = LIMIT) -> DataFrame:
     """Every row beside ``side``'s value for its key; with ``strict`` a missing key raises, else it gives null.
 
-    Beyond ``limit`` rows the side is joined by shuffling.
+    Beyond ``limit`` rows or BYTES the side is joined by shuffling.
     """
+    side, small = measured(side, limit)
     table = side.select(F.col(side_key).alias("_sk"), F.col(value).alias("_sv"), F.lit(True).alias("_there"))
-    out = df.withColumn("_dk", one(key)).join(F.broadcast(table) if fits(side, limit) else table, F.col("_dk").eqNullSafe(F.col("_sk")), "left")
+    out = df.withColumn("_dk", one(key)).join(F.broadcast(table) if small else table, F.col("_dk").eqNullSafe(F.col("_sk")), "left")
     found = F.col("_sv")
     if strict:
         found = F.when(F.col("_there"), found).otherwise(F.raise_error(F.lit("a key is missing in the side view")).cast(table.schema["_sv"].dataType))
@@ -62,10 +70,10 @@ def mapside_join(large: DataFrame, small: DataFrame, by: By, small_by: By, last:
     keys = expressions(small, small_by)
     row = F.struct(*[F.col(f"`{c}`") for c in small.columns]).alias("small")
     ranked = small.select(row, *[c.alias(f"_s{k}") for k, c in enumerate(keys)], F.row_number().over(Window.partitionBy(*keys).orderBy(*[_reversed(c) for c in last])).alias("_rank"))
-    one_each = ranked.where("_rank = 1").drop("_rank")
+    one_each, fits = measured(ranked.where("_rank = 1").drop("_rank"), limit)
     left = large.select(F.struct(*[F.col(f"`{c}`") for c in large.columns]).alias("large"), *[c.alias(f"_l{k}") for k, c in enumerate(expressions(large, by))])
     on = [F.col(f"_l{k}").eqNullSafe(F.col(f"_s{k}")) for k in range(len(keys))]
-    return left.join(F.broadcast(one_each) if fits(small, limit) else one_each, on).select("large", "small")
+    return left.join(F.broadcast(one_each) if fits else one_each, on).select("large", "small")
 
 
 def _reversed(c: Column | str) -> Column:

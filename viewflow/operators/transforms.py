@@ -6,9 +6,11 @@ import logging
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import truthy
@@ -81,20 +83,35 @@ def number_rows(df: DataFrame, by: By, name: str = "row_id", start: int = 0) ->
 def running_sum(df: DataFrame, value: Column | str, by: By, name: str = "running", within: By | None = None) -> DataFrame:
     """Sums of ``value`` up to each row in the order of ``by``, within groups, or over all rows.
 
-    Over all rows: sums within ranges of the order, and each range's start from the totals of the ranges before.
+    Over all rows: sums up within ranges of the order, where each range lies, and adds the totals of the ranges before;
+    nulls count as zero.
     """
     v = F.expr(value) if isinstance(value, str) else value
     rows = (Window.unboundedPreceding, 0)
     if within is not None:
         order = Window.partitionBy(*expressions(df, within)).orderBy(*expressions(df, by)).rowsBetween(*rows)
         return df.withColumn(name, F.sum(v).over(order))
-    ranged = checkpointed(df.repartitionByRange(*expressions(df, by)).withColumn("_part", F.spark_partition_id()))
-    totals = ranged.groupBy("_part").agg(F.sum(v).alias("_sum"))
-    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    local = ranged.withColumn("_own", F.sum(v).over(Window.partitionBy("_part").orderBy(*expressions(df, by)).rowsBetween(*rows)))
+    own = df.withColumn("_v", v)
+    kind = own.select(F.sum("_v").alias("s")).schema["s"].dataType
+    ranged = own.withColumn("_v", F.col("_v").cast(kind)).repartitionByRange(*expressions(df, by)).sortWithinPartitions(*expressions(df, by)).withColumn("_part", F.spark_partition_id())
+    local = checkpointed(ranged.mapInArrow(_sum_up, StructType([*ranged.schema, StructField("_own", kind)])))
+    totals = local.groupBy("_part").agg(F.sum("_v").alias("_sum"))
+    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each partition
     return local.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_own")).alias(name))
 
 
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with running sums of _v, nulls counting as zero."""
+    carried = None
+    for b in batches:
+        sums = b.column("_v").fill_null(0)
+        if len(sums):
+            sums = pc.cumulative_sum(sums) if carried is None else pc.cumulative_sum(sums, start=carried)
+            sums = sums.cast(b.column("_v").type)
+            carried = sums[-1]
+        yield pa.RecordBatch.from_arrays([*b.columns, sums], [*b.schema.names, "_own"])
+
+
 def log_rows(df: DataFrame, logfun: Callable[[Any, int], None]) -> DataFrame:
     """The same rows; ``logfun(row, i)`` is called on the workers for each, i counting from 0 in each partition."""
 

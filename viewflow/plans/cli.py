@@ -16,6 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--list", action="store_true", help="print all views")
     p.add_argument("--reuse", nargs="*", default=[], metavar="VIEW", help="views to read instead of computing, by name or path")
     p.add_argument("--params", action="append", default=[], metavar="K=V", help="a parameter; JSON values are decoded")
+    p.add_argument("--opts", action="append", default=[], metavar="[VIEW.]K=V", help="an option of all views, or of one: stored, stored_at, parallel, cached, compression")
     p.add_argument("--conf", action="append", default=[], metavar="K=V", help="a Spark SQL setting")
     p.add_argument("--viewdir", help="where stored views lie")
     return p
@@ -38,6 +39,7 @@ def run(flow: Workflow, argv: list[str] | None = None, out=None) -> int:
     out, p = out or sys.stdout, parser()
     a = p.parse_args(argv)
     flow.params.update(pairs(a.params))
+    flow.set_options(pairs(a.opts))
     for k, v in pairs(a.conf).items():
         flow.spark.conf.set(k, str(v))
     if a.viewdir:

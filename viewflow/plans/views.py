@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import partial
+from types import BuiltinFunctionType, CodeType, FunctionType, MethodType, ModuleType
 from typing import Any
 
 from pyspark import StorageLevel
@@ -36,24 +38,22 @@ class View:
 
     def opts(self, **settings) -> View:
         """With options: stored (bool), stored_at (path), parallel (partitions), cached (bool), compression. Calls add up."""
-        unknown = settings.keys() - {"stored", "stored_at", "parallel", "cached", "compression"}
-        if unknown:
-            raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
-        return replace(self, settings={**self.settings, **settings})
+        return replace(self, settings={**self.settings, **checked_options(settings)})
 
     def parents(self) -> tuple[View, ...]:
         if any(x is None for x in self.inputs):
             raise ValueError(f"{self.kind} has no input")
         return (*self.inputs, *self.sides)
 
-    def frame(self, spark: SparkSession, made: dict[int, DataFrame] | None = None) -> DataFrame:
-        """The view's DataFrame; each view below is built once."""
+    def frame(self, spark: SparkSession, made: dict[int, DataFrame] | None = None, settings: Callable[[View], dict] | None = None) -> DataFrame:
+        """The view's DataFrame; each view below is built once. ``settings`` tells options that differ from the views' own."""
         made = {} if made is None else made
         if id(self) not in made:
-            df = self.build(spark, *[p.frame(spark, made) for p in self.parents()])
-            if self.settings.get("parallel"):
-                df = df.repartition(self.settings["parallel"])
-            if self.settings.get("cached"):
+            df = self.build(spark, *[p.frame(spark, made, settings) for p in self.parents()])
+            own = settings(self) if settings else self.settings
+            if own.get("parallel"):
+                df = df.repartition(own["parallel"])
+            if own.get("cached"):
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
             made[id(self)] = df
         return made[id(self)]
@@ -66,12 +66,64 @@ class View:
         return f"{self.kind}({self.about})"
 
 
+def checked_options(settings: dict[str, Any]) -> dict[str, Any]:
+    unknown = settings.keys() - {"stored", "stored_at", "parallel", "cached", "compression"}
+    if unknown:
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+    return settings
+
+
 def _about(*parts: Any) -> str:
-    shown = []
-    for p in parts:
-        code = getattr(p, "__code__", None)
-        shown.append(f"{p.__qualname__}:{hashlib.sha256(code.co_code + repr(code.co_consts).encode()).hexdigest()[:8]}" if code else str(p._jc.toString()) if isinstance(p, Column) and hasattr(p, "_jc") else str(p))
-    return ", ".join(x for x in shown if x not in ("None", ""))
+    return ", ".join(x for x in map(_shown, parts) if x)
+
+
+def _shown(x: Any, seen: tuple = ()) -> str:
+    """A part of a definition as text that changes with what it does: functions by their code, defaults and whatever
+    they hold or name from around them, columns by Spark's text, objects by their values."""
+    if x is None:
+        return ""
+    if isinstance(x, str | int | float | bool | bytes):
+        return x if isinstance(x, str) else repr(x)
+    if id(x) in seen or len(seen) > 8:
+        return "..."
+    inside = lambda y: _shown(y, (*seen, id(x)))
+    if isinstance(x, Column):
+        return str(x._jc.toString()) if hasattr(x, "_jc") else str(x)
+    if isinstance(x, FunctionType):
+        return f"{x.__qualname__}:{_short(_code(x.__code__), inside(x.__defaults__), inside(x.__kwdefaults__), *map(inside, _held(x)))}"
+    if isinstance(x, MethodType):
+        return f"{inside(x.__self__)}.{inside(x.__func__)}"
+    if isinstance(x, partial):
+        return inside((x.func, x.args, x.keywords))
+    if isinstance(x, dict):
+        return f"{{{', '.join(f'{inside(k)}: {inside(v)}' for k, v in x.items())}}}"
+    if isinstance(x, list | tuple):
+        return f"({', '.join(map(inside, x))})"
+    if isinstance(x, set | frozenset):
+        return f"({', '.join(sorted(map(inside, x)))})"
+    if isinstance(x, type | BuiltinFunctionType | ModuleType) or not hasattr(x, "__dict__"):
+        return getattr(x, "__qualname__", None) or getattr(x, "__name__", None) or f"{type(x).__qualname__}({x})"
+    return f"{type(x).__qualname__}:{_short(inside(vars(x)))}"
+
+
+def _code(code: CodeType) -> str:
+    consts = [_code(c) if isinstance(c, CodeType) else repr(c) for c in code.co_consts]
+    return "|".join([code.co_code.hex(), *map(str, (code.co_names, code.co_varnames, code.co_freevars)), *consts])
+
+
+def _held(f: FunctionType) -> list:
+    """What a function's cells hold, and the globals that it names."""
+    cells = []
+    for c in f.__closure__ or ():
+        try:
+            cells.append(c.cell_contents)
+        except ValueError:  # not filled yet
+            cells.append(None)
+    return cells + [f.__globals__[n] for n in f.__code__.co_names if n in f.__globals__]
+
+
+def _short(*texts: str) -> str:
+    return hashlib.sha256("|".join(texts).encode()).hexdigest()[:12]
 
 
 def _unary(kind: str, fn: Callable[[DataFrame], DataFrame], inner: View | None, *about: Any) -> View:
@@ -125,7 +177,7 @@ def Distinct(inner: View | None = None) -> View:
 
 
 def Group(inner: View | None = None, by=None, reducing: ops.Reducer | None = None, retaining=None, combining: ops.Reducer | None = None, name: str = "value") -> View:
-    return _unary("Group", lambda df: ops.group(df, by, reducing, retaining, combining, name), inner, by, type(reducing).__name__, retaining, name)
+    return _unary("Group", lambda df: ops.group(df, by, reducing, retaining, combining, name), inner, by, reducing, retaining, name)
 
 
 def Format(inner: View | None = None, by: Column | None = None) -> View:

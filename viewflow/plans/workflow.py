@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import make_importable
 from ..sources import store_rows
-from .views import ReuseView, View
+from .views import ReuseView, View, checked_options
 
 
 class Workflow:
@@ -21,15 +21,33 @@ class Workflow:
 
     ``viewdir`` is where stored views lie, each in a folder of its name beside a note of its definition. ``reuse``
     names views to read from there instead of computing them; a missing one, or one whose definition has changed
-    since, raises. Views that several others read are persisted while a view is stored or shown.
+    since, raises. Views that several others read are persisted while a view is stored or shown. ``options`` are options
+    for all views, or under a view's name with a dot for that one, as ``{"parallel": 8, "counts.stored": True}``; they
+    come before those that a view was defined with.
     """
 
-    def __init__(self, spark: SparkSession, viewdir: str = "viewdir", params: dict[str, Any] | None = None, reuse: list[str] = (), required: list[str] = ()):
+    def __init__(self, spark: SparkSession, viewdir: str = "viewdir", params: dict[str, Any] | None = None, reuse: list[str] = (), required: list[str] = (), options: dict[str, Any] | None = None):
         missing = [p for p in required if p not in (params or {})]
         if missing:
             raise ValueError(f"missing parameters: {', '.join(missing)}")
         self.spark, self.viewdir, self.params = make_importable(spark), viewdir.rstrip("/"), dict(params or {})
         self._reuse = {self._name_of(x) for x in reuse}
+        self._options: dict[str, Any] = {}
+        self.set_options(options or {})
+
+    def set_options(self, given: dict[str, Any]) -> None:
+        for key in given:
+            name, _, option = key.rpartition(".")
+            checked_options({option: None})
+            if name:
+                self.definition(name)
+        self._options |= given
+
+    def settings(self, view: View) -> dict[str, Any]:
+        """A view's options: its own, those given for all, those given for its name."""
+        name = self.name(view)
+        every = {k: v for k, v in self._options.items() if "." not in k and (name or k == "parallel") and view.inputs}
+        return {**view.settings, **every, **{k.rpartition(".")[2]: v for k, v in self._options.items() if name and k.rpartition(".")[0] == name}}
 
     @staticmethod
     def _name_of(given: str) -> str:
@@ -48,7 +66,7 @@ class Workflow:
         return views[name]
 
     def path(self, name: str) -> str:
-        return self.definition(name).settings.get("stored_at") or f"{self.viewdir}/{name}"
+        return self.settings(self.definition(name)).get("stored_at") or f"{self.viewdir}/{name}"
 
     def name(self, view: View) -> str | None:
         return next((k for k, v in self.views().items() if v is view), None)
@@ -81,10 +99,10 @@ class Workflow:
             if own in self._reuse:
                 made[id(v)] = self._stored(own, v)
                 continue
-            df = v.frame(self.spark, made)
-            if v is not top and own and v.settings.get("stored"):
+            df = v.frame(self.spark, made, self.settings)
+            if v is not top and own and self.settings(v).get("stored"):
                 made[id(v)] = self._write(own, v, df)
-            elif persist and uses[id(v)] > 1 and v.inputs and not v.settings.get("cached"):
+            elif persist and uses[id(v)] > 1 and v.inputs and not self.settings(v).get("cached"):
                 made[id(v)] = df.persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(made[id(v)])
         return made[id(top)], held
@@ -96,7 +114,7 @@ class Workflow:
         return ReuseView(self.path(name)).frame(self.spark)
 
     def _write(self, name: str, view: View, df: DataFrame) -> DataFrame:
-        out = store_rows(df, self.path(name), view.settings.get("compression", "zstd"))
+        out = store_rows(df, self.path(name), self.settings(view).get("compression", "zstd"))
         self.spark.range(1).select(F.lit(view.lineage()).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path(name)}.definition")
         return out
 
@@ -143,7 +161,7 @@ class Workflow:
             own = name if v is top else self.name(v) or v.kind
             if own in self._reuse:
                 out.append(f"reuse {own} from {self.path(own)}")
-            elif v is top or (self.name(v) and v.settings.get("stored")):
+            elif v is top or (self.name(v) and self.settings(v).get("stored")):
                 out.append(f"store {own} at {self.path(own)}")
             else:
                 out.append(f"{'persist' if uses[id(v)] > 1 and v.inputs else 'define'} {own}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from . import recipes, sources, streaming
 from .functions import last_dropped, words
 from .operators import JoinInput, ReduceTo, ReduceToCount, ReduceToList, ReduceToSum
 from .plans import Context, Group, Jin, Join, Table, Workflow
-from .session import make_importable
+from .session import make_importable, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -372,38 +371,41 @@ def order_limit(s, d):
     return table(s, d, _O).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-def _folder(s: SparkSession, name: str) -> str:
-    made = s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{made.rstrip('/')}/viewflow-{name}-{s.sparkContext.applicationId}-{F.rand()._jc.hashCode() & 0xFFFFFFFF:x}"
-
-
 @query("SELECT c_name AS value FROM customer")
 def read_lines(s, d):
-    path = _folder(s, "lines")
+    path = new_folder(s, "lines")
     sources.write_formatted(table(s, d, _C).select("c_name"), path)
     return sources.read_lines(s, path)
 
 
-@query("SELECT [CAST(n_nationkey AS VARCHAR), n_name] AS value FROM nation")
+@query("""SELECT [CAST(n_nationkey AS VARCHAR), n_name] AS value FROM nation UNION ALL
+SELECT CASE WHEN r_regionkey = 0 THEN [r_name] ELSE [CAST(r_regionkey AS VARCHAR), 'the "' || r_name || '"', '', 'two' || chr(10) || 'lines; ' || r_name] END FROM region""")
 def read_csv(s, d):
-    path = _folder(s, "csv")
-    table(s, d, "nation").select("n_nationkey", "n_name").write.mode("overwrite").csv(path, sep=";")
-    return sources.read_csv(s, path, delimiter=";", columns=2)
+    path = new_folder(s, "csv")
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    wide = F.format_string('%d;"the ""%s""";;"two\nlines; %s"', "r_regionkey", "r_name", "r_name")
+    records = n.select(F.concat_ws(";", "n_nationkey", "n_name")).union(r.select(F.when(F.col("r_regionkey") == 0, F.col("r_name")).otherwise(wide)))
+    sources.write_formatted(records.toDF("value"), path)
+    return sources.read_csv(s, path, delimiter=";")
 
 
-@query("SELECT n_regionkey, n_name FROM nation")
+@query("""SELECT r_name AS first, CAST(CASE WHEN r_regionkey = 0 THEN 0 ELSE n END AS BIGINT) AS n_lines, CASE WHEN r_regionkey = 0 THEN [] ELSE names END AS names FROM region
+JOIN (SELECT n_regionkey, count(*) AS n, list_sort(list(n_name)) AS names FROM nation GROUP BY 1) ON n_regionkey = r_regionkey""")
 def read_blocks(s, d):
-    path = _folder(s, "blocks")
+    path = new_folder(s, "blocks")
     names = ops.group(table(s, d, "nation"), "n_regionkey", ReduceToList(), retaining="n_name", name="names")
-    text = F.concat(F.col("n_regionkey").cast("string"), F.lit("\n"), F.array_join("names", "\n"), F.lit("\n"))
-    sources.write_formatted(names, path, text)
-    blocks = sources.read_blocks(s, path).where(F.size("lines") > 0)
-    return blocks.select(F.element_at("lines", 1).cast("int").alias("n_regionkey"), F.explode(F.slice("lines", 2, 1000)).alias("n_name"))
+    both = names.join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    # a file for each region: its name, an empty line, and its nations or, for one, a block without lines
+    text = F.concat_ws("\n", "r_name", F.lit(""), F.when(F.col("r_regionkey") == 0, F.lit("")).otherwise(F.array_join("names", "\n")))
+    both.select("r_regionkey", text.alias("value")).write.partitionBy("r_regionkey").text(path)
+    blocks = sources.read_blocks(s, f"{path}/*/")
+    first, second = (blocks.where(F.col("block") == k).select("path", "lines") for k in (0, 1))
+    return first.join(second.withColumnRenamed("lines", "names"), "path").select(F.col("lines")[0].alias("first"), F.size("names").cast("long").alias("n_lines"), "names")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
 def store_and_reuse(s, d):
-    path = _folder(s, "stored")
+    path = new_folder(s, "stored")
     sources.store_rows(table(s, d, "supplier").select("s_suppkey", "s_name"), path)
     return sources.reuse(s, path)
 
@@ -415,7 +417,7 @@ def workflow_views(s, d):
         counts = customers | Group(by="c_nationkey", reducing=ReduceToCount(), name="n").opts(stored=True)
         nations = Join(Jin(Table(f"{d}/nation.parquet"), "n_nationkey"), Jin(counts, "c_nationkey"))
 
-    return Nations(s, viewdir=_folder(s, "views")).view("nations").select("_1.n_name", "_2.n")
+    return Nations(s, viewdir=new_folder(s, "views")).view("nations").select("_1.n_name", "_2.n")
 
 
 # programs
@@ -474,6 +476,21 @@ def tfidf_sideview(s, d):
     return recipes.tfidf_lookup(table(s, d, "documents")).withColumn("weight", F.round("weight", 6))
 
 
+_WEIGHTS = _TFIDF.replace("round(w / nullif(sqrt(z), 0), 6)", "w / nullif(sqrt(z), 0)")
+
+
+@query(f"SELECT printf('%d\t%s\t%.3f', doc, term, weight) AS value FROM ({_WEIGHTS}) WHERE weight IS NOT NULL")
+def tfidf_export(s, d):
+    path = new_folder(s, "tfidf")
+    sources.write_formatted(recipes.tfidf_lines(recipes.tfidf(table(s, d, "documents"))), path, compression="gzip")
+    return sources.read_lines(s, path)
+
+
+@query(f"SELECT array_to_string(list_concat([printf('rcv%06d.txt', row_number() OVER (ORDER BY doc_id)), lang], list_filter({TOKEN}, lambda x: x <> '')), chr(9)) AS value FROM documents")
+def normalised_lines(s, d):
+    return recipes.normalised_lines(table(s, d, "documents"), "doc_id", "lang")
+
+
 def _vectors(name: str, relation: str, doc: str) -> str:
     return f"""{name}t AS (SELECT {doc} AS doc, unnest(string_split(lower(text), ' ')) AS term FROM {relation}),
 {name}c AS (SELECT doc, term, count(*) AS tf FROM {name}t GROUP BY ALL), {name}d AS (SELECT term, count(*) AS df FROM {name}t GROUP BY term),
@@ -523,11 +540,33 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(s, d):
     counted = streaming.by_window(_stream(s, d), "at", ["event_type"], "1 hour", "1 day")
-    out = streaming.run_to_table(counted, _folder(s, "windows"), _folder(s, "windows-state"), "complete")
+    out = streaming.run_to_table(counted, new_folder(s, "windows"), new_folder(s, "windows-state"), "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("SELECT event_id, upper(event_type) AS kind FROM events WHERE value > 50")
 def stream_rows(s, d):
     kept = ops.replace_each(ops.filter_rows(_stream(s, d), "value > 50"), ["event_id", F.upper("event_type").alias("kind")])
-    return streaming.run_to_table(kept, _folder(s, "rows"), _folder(s, "rows-state"))
+    return streaming.run_to_table(kept, new_folder(s, "rows"), new_folder(s, "rows-state"))
+
+
+@query("SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY ALL")
+def stream_sliding_windows(s, d):
+    counted = streaming.by_window(_stream(s, d), "at", ["event_type"], "1 hour", "1 day", slide="30 minutes")
+    out = streaming.run_to_table(counted, new_folder(s, "sliding"), new_folder(s, "sliding-state"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""SELECT min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n FROM (
+SELECT event_type, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS session
+FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events)) GROUP BY event_type, session""")
+def stream_sessions(s, d):
+    counted = streaming.by_session(_stream(s, d), "at", ["event_type"], "1 hour", "1 day")
+    out = streaming.run_to_table(counted, new_folder(s, "sessions"), new_folder(s, "sessions-state"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_of_each(s, d):
+    kept = streaming.first_of_each(_stream(s, d), "at", ["user_id", "event_type"], "10000 days")
+    return streaming.run_to_table(kept, new_folder(s, "first"), new_folder(s, "first-state")).select("user_id", "event_type")

@@ -45,3 +45,11 @@ def sum_events(lines: DataFrame, event: Column, count: Column) -> DataFrame:
     """(event, n) sums of counts given as text; lines whose count is no number are left out."""
     read = lines.select(event.alias("event"), count.try_cast("long").alias("n")).where("event is not null and n is not null")
     return ops.group(read, "event", ops.ReduceToSum(), retaining="n", name="n")
+
+
+def normalised_lines(texts: DataFrame, order: ops.columns.By, classes: str, text: str = "text", name: str = "rcv%06d.txt", start: int = 1) -> DataFrame:
+    """(value): a line for each text in the order of ``order``: a name made from its number, its classes and its
+    lower-cased words, parted by tabs."""
+    numbered = ops.number_rows(texts, order, "_n", start)
+    parts = F.concat(F.array(F.format_string(name, "_n"), F.coalesce(F.col(classes).cast("string"), F.lit(""))), F.coalesce(words(text), F.array().cast("array<string>")))
+    return numbered.select(F.array_join(parts, "\t").alias("value"))

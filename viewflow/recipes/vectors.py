@@ -14,11 +14,13 @@ from pyspark.sql.window import Window
 
 from .. import operators as ops
 from ..functions import fields, floor_div, safe_log, words
+from ..session import stored
 
 
 def _terms(docs: DataFrame, doc: str, terms: Column) -> DataFrame:
+    """(doc, term, tf), written once: frequencies, documents and vectors are all made from it."""
     tokens = docs.select(F.col(doc).alias("doc"), F.explode(terms).alias("term"))
-    return tokens.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return stored(tokens.groupBy("doc", "term").agg(F.count("*").alias("tf")), "terms")
 
 
 def _unit(weighted: DataFrame, *kept: str) -> DataFrame:
@@ -53,6 +55,11 @@ def tfidf_lookup(docs: DataFrame, doc: str = "doc_id", text: str = "text", floor
     return _unit(weighted).select("doc", "term", "weight")
 
 
+def tfidf_lines(vectors: DataFrame) -> DataFrame:
+    """(value): document, term and weight to three places, parted by tabs, for the vectors whose weight isn't null."""
+    return vectors.where("weight is not null").select(F.format_string("%s\t%s\t%.3f", F.col("doc").cast("string"), "term", "weight").alias("value"))
+
+
 def relation_vectors(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, term, tf, weight, df) of one relation: ln 2 * ln(documents / occurrences of the term), unit length."""
     terms = _terms(docs, doc, fields(F.lower(text), " "))
@@ -69,9 +76,37 @@ def _similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return found.where(F.col("sim") > least)
 
 
+def _candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (doc1, doc2) that have a term of the left text's prefix in common: all that can exceed ``least`` are there.
+
+    Of a left text's terms the most frequent on the right are left out as long as the length of what they make up,
+    times the right texts' greatest length, stays at ``least`` or below, since no pair gets more from these alone.
+    """
+    share = F.col("tf") * F.col("weight")
+    lengths = right.groupBy("doc").agg(F.sum(share * share).alias("z"))
+    most = lengths.agg(F.sqrt(F.max("z")).alias("most"))
+    known = left.join(right.select("term", "df").distinct().withColumnRenamed("df", "right_df"), "term")
+    frequent = Window.partitionBy("doc").orderBy(F.desc("right_df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    met = ops.sideviews.augment_row(known.withColumn("left_out", F.sum(share * share).over(frequent)), most)
+    prefix = met.where(F.sqrt("left_out") * F.col("side.most") * (1 + 1e-9) > least)
+    pairs = prefix.select(F.col("doc").alias("doc1"), "term").join(right.select(F.col("doc").alias("doc2"), "term"), "term")
+    return pairs.select("doc1", "doc2").distinct()
+
+
 def soft_join(left: DataFrame, right: DataFrame, left_doc: str, right_doc: str, text: str = "text", least: float = 0.75) -> DataFrame:
-    """(doc1, doc2, sim): pairs whose vectors' product exceeds ``least``, over all common terms."""
-    return _similar(relation_vectors(left, left_doc, text), relation_vectors(right, right_doc, text), least)
+    """(doc1, doc2, sim): pairs whose vectors' product exceeds ``least``, over all common terms.
+
+    A threshold above zero decides which terms have to be joined on at all, see _candidates(); pairs found so are then
+    multiplied out over all of their terms.
+    """
+    a, b = stored(relation_vectors(left, left_doc, text), "left"), stored(relation_vectors(right, right_doc, text), "right")
+    if least <= 0:
+        return _similar(a, b, least)
+    pairs = _candidates(a, b, least)
+    x = a.select(F.col("doc").alias("doc1"), "term", (F.col("tf") * F.col("weight")).alias("a"))
+    y = b.select(F.col("doc").alias("doc2"), "term", (F.col("tf") * F.col("weight")).alias("b"))
+    found = pairs.join(x, "doc1").join(y, ["doc2", "term"]).groupBy("doc1", "doc2").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
+    return found.where(F.col("sim") > least)
 
 
 def soft_join_pruned(left: DataFrame, right: DataFrame, left_doc: str, right_doc: str, text: str = "text", least: float = 0.65, top_terms: int = 3, least_weight: float = 0.2, most_df: int = 50) -> DataFrame:
@@ -80,7 +115,7 @@ def soft_join_pruned(left: DataFrame, right: DataFrame, left_doc: str, right_doc
     Similarities are sums over these terms, so they may be lower, and some pairs are left out: this is the
     approximate form, for relations with terms too frequent to join on.
     """
-    a, b = relation_vectors(left, left_doc, text), relation_vectors(right, right_doc, text)
+    a, b = stored(relation_vectors(left, left_doc, text), "left"), stored(relation_vectors(right, right_doc, text), "right")
     rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("weight"), F.desc("term")))
     top = a.withColumn("r", rank).where(F.col("r") <= top_terms).select("term")
     heavy = a.where(F.col("weight") >= least_weight).select("term")
