@@ -87,7 +87,8 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + NO
     word = lambda i: F.get(F.col("words"), i)
     at = F.transform(F.sequence(F.lit(-1), n - 2), lambda i: F.struct(i.alias("i"), word(i).alias("w1"), word(i + 1).alias("w2"), word(i + 2).alias("w3")))
     at = F.when(n >= 2, at).otherwise(F.array(F.struct(F.lit(-1).alias("i"), *[F.lit(None).cast("string").alias(f"w{k}") for k in (1, 2, 3)])))
-    each = rows.select("row", "doc_id", n.cast("long").alias("n_words"), F.explode(at).alias("g"))
+    # the number of words is a column before rows multiply, so that no row carries the text's words along
+    each = rows.withColumn("n_words", n.cast("long")).select("row", "doc_id", "n_words", F.explode(at).alias("g"))
     each = each.select("row", "doc_id", "n_words", "g.*")
     low = [F.lower(f"w{k}") for k in (1, 2, 3)]
     three = F.when(F.col("w3").isNotNull() & (F.col("i") >= 0), F.xxhash64(F.lit(3), *low))
