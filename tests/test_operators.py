@@ -185,6 +185,17 @@ def test_logging_passes_rows_through(ints, caplog):
     assert values(ops.log_rows(ints, lambda r, i: None)) == list(range(10))
 
 
+def test_commands(spark):
+    rows = [(f"k{k % 3}", f"line {k}") for k in range(30)] + [(None, None)]
+    df = spark.createDataFrame(rows, "k string, v string").repartition(4)
+    assert sorted(r.value for r in ops.pipe(df, "cat", by="v").collect()) == sorted(["", *[f"line {k}" for k in range(30)]])
+    assert ops.pipe(df.select("v"), "head -n 1").count() <= 4 and ops.pipe(df.where("false"), "cat", by="v").count() == 0
+    counted = ops.map_reduce(df.where("k is not null"), "sed 's/$/\\t1/'", "cut -f 1 | uniq -c | sed 's/^ *//'", by="k", partitions=2)
+    assert sorted(r.value for r in counted.collect()) == ["10 k0", "10 k1", "10 k2"]
+    with pytest.raises(Exception, match="ended with 3"):
+        ops.pipe(df, "cat > /dev/null; exit 3", by="v").collect()
+
+
 def test_sample_is_repeatable(ints):
     a, b = (values(ops.sample(ints, 0.5, 3)) for _ in range(2))
     assert a == b and set(a) <= set(range(10))

@@ -70,6 +70,9 @@ class Rel:
     def map_partitions(self, by: Callable[[Iterator], Iterator], schema: str) -> Rel:
         return self._new("map_partitions", ops.replace_each_partition(self.df, by, schema))
 
+    def pipe(self, command: str) -> Rel:
+        return self._new("pipe", ops.pipe(self.df, command))
+
     def sample(self, with_replacement: bool, fraction: float, seed: int = 0) -> Rel:
         return self._new("sample", ops.sample(self.df, fraction, seed, with_replacement))
 

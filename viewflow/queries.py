@@ -103,6 +103,17 @@ def sample_rows(s, d):
     return ops.sample(table(s, d, "lineitem"), 0.1, seed=7)
 
 
+@query("SELECT lower(n_name) AS value FROM nation")
+def piped_rows(s, d):
+    return ops.pipe(table(s, d, "nation").select("n_name"), "tr A-Z a-z")
+
+
+@query("SELECT event_type || chr(9) || count(*) AS value FROM events GROUP BY event_type")
+def piped_map_reduce(s, d):
+    mapper, reducer = """awk '{print $1 "\\t1"}'""", """awk -F '\\t' '{n[$1] += $2} END {for (k in n) print k "\\t" n[k]}'"""
+    return ops.map_reduce(table(s, d, "events").select("event_type"), mapper, reducer)
+
+
 # groups
 
 
