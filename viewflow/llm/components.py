@@ -25,10 +25,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least, kept = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, between = write_table(large, "edges")
-        least, again = write_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # links lead from larger to smaller now: no node has very many
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         made, after = write_table(small.distinct(), "edges")
-        for old in (path, kept, between, again):
+        for old in (path, kept, between):
             remove(spark, old)
         now, path, before, seen = made, after, seen, _digest(made)
         if seen == before:
