@@ -725,16 +725,40 @@ def test_batches_split_deals():
 
     rng = np.random.default_rng(8)
     deals = np.repeat(np.arange(12), [1, 3, 4, 5, 9, 1, 2, 30, 4, 1, 5, 7])
-    nodes, values = np.arange(len(deals)), rng.integers(0, 1 << 62, len(deals))
-    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (deals, nodes, values)], ["deal", "node", "f0"])
+    nodes, values, roots = np.arange(len(deals)), rng.integers(0, 1 << 62, len(deals)), rng.integers(0, 3, len(deals))
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (deals, nodes, values, roots)], ["deal", "node", "f0", "root"])
     count = np.bincount(deals)
-    want = {(int(i), int(j), None) for i in nodes for j in nodes if i < j and deals[i] == deals[j] and count[deals[i]] <= 4}
-    want |= {(int(i), None, int(deals[i])) for i in nodes if count[deals[i]] > 4}
+    want = {(int(i), int(j), None, None) for i in nodes for j in nodes if i < j and deals[i] == deals[j] and count[deals[i]] <= 4 and roots[i] != roots[j]}
+    want |= {(int(i), None, int(deals[i]), int(roots[i])) for i in nodes if count[deals[i]] > 4}
     for step in (1, 2, 3, 5, 7, 100):
         got = [tuple(r.values()) for b in _candidates(iter([table.slice(k, step) for k in range(0, len(deals), step)]), 64, 4) for r in b.to_pylist()]
         assert len(got) == len(want) and set(got) == want
 
 
+def test_a_large_group_costs_few_pairs(spark):
+    rng, rows = np.random.default_rng(9), []
+    base = [f"t{x}" for x in rng.integers(0, 5000, 300)]
+    for d in range(300):
+        own = list(base)
+        for k in rng.choice(300, 3, replace=False):
+            own[k] = f"n{d}"
+        rows.append((d, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    from viewflow.llm import simhash_dedup
+
+    write = simhash_dedup.write_table
+    simhash_dedup.write_table = lambda df, name, *by: made.append((name, write(df, name, *by))) or made[-1][1]
+    try:
+        got = dict(map(tuple, near_duplicates(df).collect()))
+    finally:
+        simhash_dedup.write_table = write
+    assert set(got.values()) == {0}
+    assert sum(t.count() for name, (t, _) in made if name == "pairs") <= 8 * 300
+    for settings in ({"first_tables": 0}, {"first_tables": 96}):
+        assert dict(map(tuple, near_duplicates(df, **settings).collect())) == got
+
+
 # words
 
 

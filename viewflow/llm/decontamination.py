@@ -178,7 +178,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, s
     # seeds of one item that put its beginning at places less than its length apart are one passage
     near = met.groupBy("row", "item", "size", "part").agg(F.min("start").alias("low"), F.max("start").alias("high"))
     room = F.floor(F.col("size") * pad) + 4
-    near = near.select("row", "item", F.greatest(F.col("low") - room, F.lit(0)).alias("low"), (F.col("high") + F.col("size") + room).alias("high"))
+    # written first: its size then tells whether it can be broadcast or the texts' words have to be shuffled to it
+    near, _ = write_table(near.select("row", "item", F.greatest(F.col("low") - room, F.lit(0)).alias("low"), (F.col("high") + F.col("size") + room).alias("high")), "passages")
     texts = seen.select("row", "doc_id", "words").join(near, "row").withColumn("passage", F.expr("substring(words, cast(8 * low + 1 as int), cast(8 * (high - low) as int))")).drop("words")
     pairs = texts.join(known.select("item", "item_id", F.col("words").alias("own")), "item").select("row", "doc_id", "item", "item_id", "low", "own", "passage")
     scored = map_arrow(pairs, lambda b: _align_rows(b, threshold), "row long, doc_id long, item long, item_id long, score double, start_word long, end_word long")
@@ -193,5 +194,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataF
     """
     name = "_" * (max(map(len, docs.columns)) + 1)
     rows, _ = write_table(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
-    gone = contaminated(rows, items, **{**settings, "id_column": name}).select(F.col("doc_id").alias(name)).distinct()
+    gone, _ = write_table(contaminated(rows, items, **{**settings, "id_column": name}).select(F.col("doc_id").alias(name)).distinct(), "gone")
     return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -214,13 +214,30 @@ def _table_masks(tables: int, bits: int) -> list[list[int]]:
     return out
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], limit: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """Rows (deal, node, f0) come sorted by deal. For each member of a deal the nearest of up to ``cap`` before it, if
+    the pivots and the first part let the pair pass: few pairs, which join most of what belongs together."""
+    for b in batches:
+        deals, nodes, bits = b.column("deal").to_numpy(), b.column("node").to_numpy(), b.column("f0").to_numpy().view(U)
+        best, to = np.full(len(deals), limit + 1, np.int64), np.zeros(len(deals), np.int64)
+        for lag in range(1, min(cap, len(deals))):
+            right = np.flatnonzero(deals[lag:] == deals[:-lag]) + lag
+            if not len(right):
+                break
+            far = np.bitwise_count(bits[right] ^ bits[right - lag]).astype(np.int64)
+            nearer = far < best[right]
+            best[right[nearer]], to[right[nearer]] = far[nearer], nodes[right[nearer] - lag]
+        at = np.flatnonzero(best <= limit)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(to[at], nodes[at])), pa.array(np.maximum(to[at], nodes[at]))], ["a", "b"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], limit: int, cap: int) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, node, f0) come sorted by deal. Pairs (a, b, null) of a deal of up to ``cap`` members that the
-    pivots and the first part let pass; (a, null, deal) for every member of a larger one."""
-    held = [np.zeros(0, np.int64)] * 3  # the deal that the last batch ended in: all of it, or of a larger one cap + 1
+    """Rows (deal, node, f0, root) come sorted by deal. Pairs (a, b, null, null) of different roots, of a deal of up to
+    ``cap`` members, that the pivots and the first part let pass; (a, null, deal, root) for every member of a larger one."""
+    held = [np.zeros(0, np.int64)] * 4  # the deal that the last batch ended in: all of it, or of a larger one cap + 1
     told = False  # whether the held members have been told as a crowd's
 
-    def pairs(deals, nodes, values):
+    def pairs(deals, nodes, values, roots):
         head = np.flatnonzero(np.concatenate(([True], deals[1:] != deals[:-1])))
         size = np.diff(np.append(head, len(deals)))
         run = np.repeat(np.arange(len(head)), size)
@@ -233,34 +250,37 @@ def _candidates(batches: Iterator[pa.RecordBatch], limit: int, cap: int) -> Iter
             right = right[(run[right] == run[right - lag]) & small[right]]
             if not len(right):
                 break
-            right = right[np.abs(table[right] - table[right - lag]).max(axis=1) <= limit]
+            right = right[roots[right] != roots[right - lag]]
+            right = right[np.abs(table[right] - table[right - lag]).max(axis=1, initial=0) <= limit]
             right = right[np.bitwise_count(bits[right] ^ bits[right - lag]) <= limit]
             found.append((nodes[right - lag], nodes[right]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return a, b, ~small
 
-    def batch(a, b, member, deal):
+    def batch(a, b, member, deal, root):
         blank = lambda n: pa.nulls(n, pa.int64())
-        columns = [pa.concat_arrays([pa.array(a), pa.array(member)]), pa.concat_arrays([pa.array(b), blank(len(member))]), pa.concat_arrays([blank(len(a)), pa.array(deal)])]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "deal"])
+        columns = [pa.concat_arrays([pa.array(x), y]) for x, y in ((a, pa.array(member)), (b, blank(len(member))))]
+        columns += [pa.concat_arrays([blank(len(a)), pa.array(x)]) for x in (deal, root)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "deal", "root"])
 
+    none = np.zeros(0, np.int64)
     for b in batches:
         old = len(held[0]) if told else 0
-        deals, nodes, values = (np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("deal", "node", "f0"), strict=True))
+        deals, nodes, values, roots = (np.concatenate((h, b.column(c).to_numpy())) for h, c in zip(held, ("deal", "node", "f0", "root"), strict=True))
         if not len(deals):
             continue
         last = int(np.append(-1, np.flatnonzero(deals != deals[-1]))[-1]) + 1
         open_crowd = len(deals) - last > cap
         end = len(deals) if open_crowd else last
-        left, right, crowd = pairs(deals[:end], nodes[:end], values[:end]) if end else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        left, right, crowd = pairs(deals[:end], nodes[:end], values[:end], roots[:end]) if end else (none, none, np.zeros(0, bool))
         at = np.flatnonzero(crowd)
         at = at[at >= old]
-        yield batch(left, right, nodes[at], deals[at])
+        yield batch(left, right, nodes[at], deals[at], roots[at])
         told = open_crowd
-        held = [x[last : last + cap + 1].copy() if open_crowd else x[last:].copy() for x in (deals, nodes, values)]
+        held = [x[last : last + cap + 1].copy() if open_crowd else x[last:].copy() for x in (deals, nodes, values, roots)]
     if len(held[0]) and not told:
         left, right, _ = pairs(*held)
-        yield batch(left, right, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        yield batch(left, right, none, none, none)
 
 
 def shared_values(a: np.ndarray, b: np.ndarray) -> int:
@@ -270,18 +290,18 @@ def shared_values(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
 
 
-def crowd_links(bits: np.ndarray, sets: list[np.ndarray], limit: int, similarity: float) -> list[tuple[int, int]]:
+def crowd_links(bits: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, limit: int, similarity: float) -> list[tuple[int, int]]:
     """Index pairs of that similarity that join all members connected by such pairs within ``limit`` bits.
 
-    Each member meets all before it, the nearest first; only pairs of one group already are left out, so the groups
-    are those of all pairs while the links are fewer than the members.
+    Each member meets all before it, the nearest first; only pairs of one group already, to begin with of one root, are
+    left out, so the groups are those of all pairs while the links are fewer than the members.
     """
     n, out = len(sets), []
     size = np.array([len(x) for x in sets])
-    group = np.arange(n)
+    group = np.unique(roots, return_inverse=True)[1]
     for i in range(1, n):
         far = np.bitwise_count(bits[:i] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        at = np.flatnonzero((far <= limit) & (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i])))
+        at = np.flatnonzero((group[:i] != group[i]) & (far <= limit) & (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i])))
         for j in at[np.argsort(far[at], kind="stable")].tolist():
             if group[i] == group[j]:
                 continue
@@ -293,23 +313,24 @@ def crowd_links(bits: np.ndarray, sets: list[np.ndarray], limit: int, similarity
 
 
 def _crowds(batches: Iterator[pa.RecordBatch], limit: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (deal, node, f0 ..., shingles) come sorted by deal; links (a, b) of each deal's members."""
-    key, nodes, bits, sets = None, [], [], []
+    """Rows (deal, node, root, f0 ..., shingles) come sorted by deal; links (a, b) of each deal's members."""
+    key, nodes, roots, bits, sets = None, [], [], [], []
 
     def close():
-        found = crowd_links(np.array(bits, U).reshape(-1, WIDE), sets, limit, similarity)
+        found = crowd_links(np.array(bits, U).reshape(-1, WIDE), sets, np.array(roots), limit, similarity)
         made = [np.array([nodes[pair[k]] for pair in found], np.int64) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b"])
 
     for b in batches:
         deals, prints = b.column("deal").to_pylist(), np.stack([b.column(f"f{k}").to_numpy() for k in range(WIDE)], axis=1).view(U)
-        lists, own = b.column("shingles"), b.column("node").to_pylist()
+        lists, own, groups = b.column("shingles"), b.column("node").to_pylist(), b.column("root").to_pylist()
         for k, deal in enumerate(deals):
             if deal != key:
                 if nodes:
                     yield close()
-                key, nodes, bits, sets = deal, [], [], []
+                key, nodes, roots, bits, sets = deal, [], [], [], []
             nodes.append(own[k])
+            roots.append(groups[k])
             bits.append(prints[k])
             sets.append(lists[k].values.to_numpy().view(U).copy())
     if nodes:
@@ -333,20 +354,23 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """
     prints, nodes, roots = _groups(docs, **settings)
     placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    # written first: its size then tells whether it can be broadcast or all texts have to be shuffled to it
+    stays, _ = write_table(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "stays")
     text, kinds = settings.get("text_column", "text"), dict(docs.dtypes)
     own = lambda c: F.col("text").cast(kinds[c]) if c == text else F.col(f"rest.`{c}`")
     return prints.join(stays, "row", "left_semi").select(*[own(c).alias(c) for c in docs.columns])
 
 
-def _groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tables: int = 96, table_bits: int = 20, crowd: int = _CROWD, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8, tables: int = 96, first_tables: int = 8, table_bits: int = 20, crowd: int = _CROWD, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows, nodes and (node, root) of texts grouped by a similarity of ``similarity`` of their word shingles.
 
     Two rows link if the Jaccard similarity of their sets of distinct shingles is ``similarity`` or more, and groups
     are what links connect. Candidates come from fingerprints: sets of similarity s differ in a share
     acos(2s / (1 + s)) / pi of 512 bits at most, and fingerprints that agree on all bits of one of the tables' samples
     meet; a pair beyond the expected share by four standard deviations is left out, every other one is decided by the
-    sets themselves. A pair meets with probability 1 - (1 - (1 - share) ** table_bits) ** tables: 0.97 at a
+    sets themselves. First each text meets the nearest of its deal in ``first_tables`` tables; what these links join is
+    one group from then on, and only pairs of different groups are looked at further, so a large group of copies costs
+    a few pairs for each member. A pair meets with probability 1 - (1 - (1 - share) ** table_bits) ** tables: 0.97 at a
     similarity of 0.8, 0.998 at 0.85. The members of a deal of over ``crowd`` all meet as well, in one task that their
     sets come to and that sends on only the links which join them. Nulls, ties and empty tables are treated as by
     simhash_components().
@@ -385,24 +409,39 @@ def _groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8,
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes, _ = write_table(prints.groupBy("node", "size", *parts).agg(F.min(order).alias("first")), "nodes")
     n = partitions_for(nodes, 1 << 20)  # a node goes to as many deals as there are tables
-    deals = F.array(*[F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(parts, masks, strict=True) if m]) for t, masks in enumerate(_table_masks(tables, table_bits))])
-    dealt = nodes.where("size > 0").select("node", "f0", F.explode(deals).alias("deal")).repartition(n, "deal").sortWithinPartitions("deal", "node")
-    found, _ = write_table(map_arrow(dealt, lambda b: _candidates(b, first_limit, crowd), "a long, b long, deal long"), "candidates")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *[F.col(p).alias(f"{x}_{p}") for p in parts])
-    far = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parts[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    near = (far <= limit) & (F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size"))
-    pairs = found.where("b is not null").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where(near)
-    pairs, _ = write_table(pairs.select("a", "b", "a_size", "b_size"), "pairs")
-    crowded = found.where("b is null").select(F.col("a").alias("node"), "deal")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
-    chosen = nodes.join(need, "node", "left_semi").select(F.col("first.row").alias("row"))
-    texts = prints.select("row", "node", "text").join(chosen, "row", "left_semi")
-    sets, _ = write_table(map_arrow(texts.select("node", "text"), spell, "node long, shingles array<long>"), "shingles")
-    own = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
-    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    checked = pairs.join(own("a"), "a").join(own("b"), "b").withColumn("both", both)
-    edges = checked.where(F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both")) >= F.lit(similarity)).select("a", "b")
+    masks = _table_masks(tables, table_bits)
+    deal = lambda t: F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(parts, masks[t], strict=True) if m])
+
+    def dealt(of: DataFrame, numbers: range, *columns: str) -> DataFrame:
+        each = of.where("size > 0").select("node", "f0", *columns, F.explode(F.array(*[deal(t) for t in numbers])).alias("deal"))
+        return each.repartition(n, "deal").sortWithinPartitions("deal", "node")
+
+    def alike(pairs: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs (a, b) of that similarity; and (node, shingles) of all nodes in pairs or in ``more`` (node)."""
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), *[F.col(p).alias(f"{x}_{p}") for p in parts])
+        far = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parts[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
+        near = (far <= limit) & (F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size"))
+        close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "a_size", "b_size")
+        close, _ = write_table(close, "pairs")
+        need = close.select(F.col("a").alias("node")).union(close.select("b")).union(more).distinct()
+        chosen, _ = write_table(nodes.join(need, "node", "left_semi").select(F.col("first.row").alias("row")), "chosen")
+        texts = prints.select("row", "node", "text").join(chosen, "row", "left_semi")
+        sets, _ = write_table(map_arrow(texts.select("node", "text"), spell, "node long, shingles array<long>"), "shingles")
+        own = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
+        checked = close.join(own("a"), "a").join(own("b"), "b").withColumn("both", F.size(F.array_intersect("a_shingles", "b_shingles")))
+        return checked.where(F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both")) >= F.lit(similarity)).select("a", "b"), sets
+
+    none = nodes.select("node").where("false")
+    first = map_arrow(dealt(nodes, range(min(first_tables, tables))), lambda b: _nearest(b, first_limit, crowd), "a long, b long")
+    begun, _ = write_table(connected_components(alike(first, none)[0]), "roots")
+    rooted, _ = write_table(nodes.join(begun, "node", "left").select("node", "size", *parts, F.coalesce("root", "node").alias("root")), "nodes")
+    found, _ = write_table(map_arrow(dealt(rooted, range(tables), "root"), lambda b: _candidates(b, first_limit, crowd), "a long, b long, deal long, root long"), "candidates")
+    crowded = found.where("b is null").select(F.col("a").alias("node"), "deal", "root")
+    mixed = crowded.groupBy("deal").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("deal")
+    crowded, _ = write_table(crowded.join(mixed, "deal", "left_semi"), "crowded")
+    edges, sets = alike(found.where("b is not null").select("a", "b"), crowded.select("node"))
     members = crowded.join(nodes.select("node", *parts), "node").join(sets, "node").repartition(n, "deal").sortWithinPartitions("deal", "node")
-    joined = map_arrow(members.select("deal", "node", *parts, "shingles"), lambda b: _crowds(b, limit, similarity), "a long, b long")
-    roots, _ = write_table(connected_components(edges.unionByName(joined)), "roots")
+    joined = map_arrow(members.select("deal", "node", "root", *parts, "shingles"), lambda b: _crowds(b, limit, similarity), "a long, b long")
+    links_of = begun.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots, _ = write_table(connected_components(links_of.unionByName(edges).unionByName(joined)), "roots")
     return prints, nodes, roots
