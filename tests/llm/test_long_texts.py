@@ -1,4 +1,4 @@
-"""One text of some six megabytes beside short ones, through every operator."""
+"""One text of some three megabytes beside short ones, through every operator."""
 
 import random
 
@@ -18,14 +18,14 @@ from viewflow.llm.token_files import document_digests, token_folder, write_token
 from viewflow.llm.tokens import coder
 
 rng = random.Random(1)
-WORDS = [f"w{rng.randrange(20_000)}" for _ in range(900_000)]
-NOTICE, ITEM, SHORT = "released under the mit license", " ".join(WORDS[700_000:700_080]), "a short text of a few words"
+WORDS = [f"w{rng.randrange(20_000)}" for _ in range(450_000)]
+NOTICE, ITEM, SHORT = "released under the mit license", " ".join(WORDS[300_000:300_080]), "a short text of a few words"
 LONG = " ".join([*WORDS, NOTICE])
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(1, LONG), (2, SHORT), (3, " ".join(WORDS[500_000:500_400])), (4, LONG)]
+    rows = [(1, LONG), (2, SHORT), (3, " ".join(WORDS[200_000:200_400])), (4, LONG)]
     return write_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "long")[0]
 
 
@@ -36,17 +36,17 @@ def by_id(df, *columns):
 def test_native_operators(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     got = by_id(quality_rules(docs, labels), "n_words", "kept")
-    assert got[1] == got[4] == (900_005, True) and got[2] == (7, False)
+    assert got[1] == got[4] == (450_005, True) and got[2] == (7, False)
     assert by_id(quality_classifier(docs, labels), "predicted")[1] == (1,)
     found = by_id(license_scan(docs), "n_words", "labels", "score")
-    assert found[1] == found[4] == (900_005, "mit", 1.0) and found[2] == (7, "", 0.0)
+    assert found[1] == found[4] == (450_005, "mit", 1.0) and found[2] == (7, "", 0.0)
 
 
 def test_passages_and_copies(spark, docs):
     got = by_id(substring_dedup(docs), "n_words", "n_removed")
-    assert got == {1: (900_005, 0), 2: (7, 0), 3: (400, 400), 4: (900_005, 900_005)}
+    assert got == {1: (450_005, 0), 2: (7, 0), 3: (400, 400), 4: (450_005, 450_005)}
     item = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
-    assert by_id(contaminated(docs, item), "score", "start_word", "end_word") == {d: (1.0, 700_000, 700_080) for d in (1, 4)}
+    assert by_id(contaminated(docs, item), "score", "start_word", "end_word") == {d: (1.0, 300_000, 300_080) for d in (1, 4)}
     assert by_id(simhash_components(docs), "component_id")[4] == (1,)
     assert sorted(by_id(without_near_duplicates(docs))) == [1, 2, 3]
 
@@ -64,4 +64,4 @@ def test_tokens_and_scores(spark, docs):
         own = sorted((r.start, r.length, r.doc_tokens) for r in pieces if r.doc_id == d)
         assert own[0][0] == 0 and all(a + b == c for (a, b, _), (c, _, _) in zip(own, own[1:], strict=False)) and sum(own[-1][:2]) == own[-1][2]
     scores = by_id(score_documents(docs, fit_model(docs)), "n_tokens", "log_likelihood")
-    assert scores[1] == pytest.approx(scores[4]) and scores[1][0] == 900_005
+    assert scores[1] == pytest.approx(scores[4]) and scores[1][0] == 450_005
