@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, of_root
-from .shared import map_arrow, partitions_for, write_table
+from .shared import map_arrow, partitions_for, remove, write_table
 from .wordarrays import U, mix, slices, text_buffers
 
 PIVOTS = mix(np.arange(1, 33, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -354,8 +354,7 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """
     prints, nodes, roots = _groups(docs, **settings)
     placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    # written first: its size then tells whether it can be broadcast or all texts have to be shuffled to it
-    stays, _ = write_table(placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "stays")
+    stays = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     text, kinds = settings.get("text_column", "text"), dict(docs.dtypes)
     own = lambda c: F.col("text").cast(kinds[c]) if c == text else F.col(f"rest.`{c}`")
     return prints.join(stays, "row", "left_semi").select(*[own(c).alias(c) for c in docs.columns])
@@ -412,6 +411,14 @@ def _groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8,
     masks = _table_masks(tables, table_bits)
     deal = lambda t: F.xxhash64(F.lit(t), *[F.col(p).bitwiseAND(F.lit(_signed(m))) for p, m in zip(parts, masks[t], strict=True) if m])
 
+    used: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """A table that goes when the groups are there."""
+        out, path = write_table(df, name)
+        used.append(path)
+        return out
+
     def dealt(of: DataFrame, numbers: range, *columns: str) -> DataFrame:
         each = of.where("size > 0").select("node", "f0", *columns, F.explode(F.array(*[deal(t) for t in numbers])).alias("deal"))
         return each.repartition(n, "deal").sortWithinPartitions("deal", "node")
@@ -422,26 +429,28 @@ def _groups(docs: DataFrame, *, shingle_words: int = 5, similarity: float = 0.8,
         far = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parts[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
         near = (far <= limit) & (F.least("a_size", "b_size") >= F.lit(similarity) * F.greatest("a_size", "b_size"))
         close = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "a_size", "b_size")
-        close, _ = write_table(close, "pairs")
+        close = kept(close, "pairs")
         need = close.select(F.col("a").alias("node")).union(close.select("b")).union(more).distinct()
-        chosen, _ = write_table(nodes.join(need, "node", "left_semi").select(F.col("first.row").alias("row")), "chosen")
+        chosen = nodes.join(need, "node", "left_semi").select(F.col("first.row").alias("row"))
         texts = prints.select("row", "node", "text").join(chosen, "row", "left_semi")
-        sets, _ = write_table(map_arrow(texts.select("node", "text"), spell, "node long, shingles array<long>"), "shingles")
+        sets = kept(map_arrow(texts.select("node", "text"), spell, "node long, shingles array<long>"), "shingles")
         own = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}_shingles"))
         checked = close.join(own("a"), "a").join(own("b"), "b").withColumn("both", F.size(F.array_intersect("a_shingles", "b_shingles")))
         return checked.where(F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both")) >= F.lit(similarity)).select("a", "b"), sets
 
     none = nodes.select("node").where("false")
     first = map_arrow(dealt(nodes, range(min(first_tables, tables))), lambda b: _nearest(b, first_limit, crowd), "a long, b long")
-    begun, _ = write_table(connected_components(alike(first, none)[0]), "roots")
-    rooted, _ = write_table(nodes.join(begun, "node", "left").select("node", "size", *parts, F.coalesce("root", "node").alias("root")), "nodes")
-    found, _ = write_table(map_arrow(dealt(rooted, range(tables), "root"), lambda b: _candidates(b, first_limit, crowd), "a long, b long, deal long, root long"), "candidates")
+    begun = kept(connected_components(alike(first, none)[0]), "roots")
+    rooted = kept(nodes.join(begun, "node", "left").select("node", "size", *parts, F.coalesce("root", "node").alias("root")), "nodes")
+    found = kept(map_arrow(dealt(rooted, range(tables), "root"), lambda b: _candidates(b, first_limit, crowd), "a long, b long, deal long, root long"), "candidates")
     crowded = found.where("b is null").select(F.col("a").alias("node"), "deal", "root")
     mixed = crowded.groupBy("deal").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("deal")
-    crowded, _ = write_table(crowded.join(mixed, "deal", "left_semi"), "crowded")
+    crowded = kept(crowded.join(mixed, "deal", "left_semi"), "crowded")
     edges, sets = alike(found.where("b is not null").select("a", "b"), crowded.select("node"))
     members = crowded.join(nodes.select("node", *parts), "node").join(sets, "node").repartition(n, "deal").sortWithinPartitions("deal", "node")
     joined = map_arrow(members.select("deal", "node", "root", *parts, "shingles"), lambda b: _crowds(b, limit, similarity), "a long, b long")
     links_of = begun.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots, _ = write_table(connected_components(links_of.unionByName(edges).unionByName(joined)), "roots")
+    for path in used:
+        remove(prints.sparkSession, path)
     return prints, nodes, roots
