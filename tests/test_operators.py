@@ -229,3 +229,15 @@ def test_laws(spark, a, b):
     m, n = Counter(a), Counter(b)
     assert ops.join(left, right).count() == sum(m[k] * n[k] for k in m)
     assert dict(map(tuple, ops.group(left, "v", ReduceToCount()).collect())) == dict(m)
+
+
+def _rows_by_task(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+
+
+def test_products_of_frequent_keys_are_dealt_out(spark):
+    a, b = spark.range(1).selectExpr("cast(null as int) as k", "'x' as name"), spark.range(3000).selectExpr("cast(null as int) as k", "id as b")
+    c = spark.range(2500).selectExpr("cast(null as int) as k", "if(id > 0, id, null) as c")
+    got = ops.join(JoinInput(a, "k"), JoinInput(b, "k"), JoinInput(c, "k"))
+    assert len(_rows_by_task(got)) > 1 and got.count() == 7_500_000
+    assert got.agg(F.countDistinct("_2.b"), F.countDistinct("_3.c"), F.min("_1.name"), F.count("_3.c"), F.max("_3.k")).first()[:] == (3000, 2499, "x", 7_497_000, None)
