@@ -241,3 +241,10 @@ def test_products_of_frequent_keys_are_dealt_out(spark):
     got = ops.join(JoinInput(a, "k"), JoinInput(b, "k"), JoinInput(c, "k"))
     assert len(_rows_by_task(got)) > 1 and got.count() == 7_500_000
     assert got.agg(F.countDistinct("_2.b"), F.countDistinct("_3.c"), F.min("_1.name"), F.count("_3.c"), F.max("_3.k")).first()[:] == (3000, 2499, "x", 7_497_000, None)
+
+
+def test_copies_of_an_intersection_are_dealt_out(spark):
+    a, b = spark.range(700).selectExpr("if(id < 699, null, 1L) as k", "'x' as v"), spark.range(500).selectExpr("if(id < 498, null, id - 497L) as k", "'x' as v")
+    got = ops.intersection_bag(a, b)
+    assert len(_rows_by_task(got)) > 1
+    assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {None: 699 * 498, 1: 1}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .columns import By, expressions
 
+_COPIES = 1 << 16
 HOW = {(False, False): "inner", (True, False): "left", (False, True): "right", (True, True): "full"}
 
 
@@ -87,8 +88,18 @@ def _on_rows(left: DataFrame, right: DataFrame) -> Column:
 
 
 def intersection_bag(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows in both; a row m times here and n times there comes m * n times."""
-    return left.alias("l").join(right.alias("r"), _on_rows(left, right)).select("l.*")
+    """Rows in both; a row m times here and n times there comes m * n times.
+
+    Different rows meet once, with their numbers; copies are made after these have been dealt out in blocks.
+    """
+    once = left.groupBy(*[f"`{c}`" for c in left.columns]).agg(F.count(F.lit(1)).alias("_m"))
+    other = right.groupBy(*[f"`{c}`" for c in right.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    both = once.alias("l").join(other.alias("r"), _on_rows(left, right)).select(*[F.col(f"l.`{c}`") for c in left.columns], (F.col("_m") * F.col("_n")).alias("_copies"))
+    blocks = both.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / _COPIES))).alias("_block"))
+    dealt = blocks.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    here = F.least(F.lit(_COPIES).cast("long"), F.col("_copies") - F.col("_block") * _COPIES).cast("int")
+    copies = dealt.select(*[F.col(f"`{c}`") for c in left.columns], F.explode(F.sequence(F.lit(1), here)).alias("_copy"))
+    return copies.select(*[F.col(f"`{c}`") for c in left.columns])
 
 
 def intersection_set(left: DataFrame, right: DataFrame) -> DataFrame:
