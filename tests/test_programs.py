@@ -4,6 +4,7 @@ import csv
 import io
 import math
 import random
+import re
 import tempfile
 from functools import partial
 from pathlib import Path
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from viewflow import recipes, sources, streaming
+from viewflow import queries, recipes, sources, streaming
 from viewflow.functions import words
 from viewflow.operators import ReduceTo, ReduceToCount, ReduceToSum
 from viewflow.plans import (
@@ -326,3 +327,12 @@ def test_streams(spark, tmp_path):
     assert sorted((r.start.hour, r.start.minute, r.end.hour, r.end.minute, r.u, r.n) for r in got) == [x for h in range(3) for x in ((h, 0, h, 45, "v", 2), (h, 10, h, 55, "u", 2))]
     first = streaming.run_to_table(streaming.first_of_each(stream(), "at", ["u"], "5 hours"), str(tmp_path / "d"), str(tmp_path / "ds"))
     assert first.count() == 2
+
+
+def test_an_intersection_makes_only_pairs_that_are_there(spark, tmp_path):
+    spark.range(6).selectExpr("id % 3 as l_partkey", "id % 2 as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("id as p_partkey", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(301).selectExpr("id % 300 as s_suppkey", "if(id = 1, 2, 1) as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = queries.pair_intersection(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (2, 0)]
+    assert not re.search(r"\[p_size#\d+\], \[s_nationkey#\d+\]", got._jdf.queryExecution().executedPlan().toString())

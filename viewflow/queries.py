@@ -364,9 +364,11 @@ def pair_union(s, d):
 
 @query("SELECT l_partkey AS key, l_suppkey AS value FROM lineitem JOIN (SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_nationkey) ON l_partkey = p_partkey AND l_suppkey = s_suppkey")
 def pair_intersection(s, d):
-    near = table(s, d, "part").join(table(s, d, "supplier"), F.col("p_size") == F.col("s_nationkey"))
-    other = Context(s).wrap(near.select(F.col("p_partkey").alias("key"), F.col("s_suppkey").alias("value")))
-    return _pairs(s, d, "lineitem", "l_partkey", "l_suppkey").intersection(other).df
+    ordered = _pairs(s, d, "lineitem", "l_partkey", "l_suppkey")
+    # of all parts and suppliers with equal numbers, those that are ordered together: the others are in no intersection
+    parts, suppliers = table(s, d, "part").select("p_partkey", "p_size"), table(s, d, "supplier").select("s_suppkey", "s_nationkey")
+    near = ordered.distinct().df.join(parts, F.col("key") == F.col("p_partkey")).join(suppliers, (F.col("value") == F.col("s_suppkey")) & (F.col("p_size") == F.col("s_nationkey")))
+    return ordered.intersection(Context(s).wrap(near.select("key", "value"))).df
 
 
 @query("SELECT DISTINCT user_id AS key FROM events")
