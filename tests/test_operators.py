@@ -248,3 +248,10 @@ def test_copies_of_an_intersection_are_dealt_out(spark):
     got = ops.intersection_bag(a, b)
     assert len(_rows_by_task(got)) > 1
     assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {None: 699 * 498, 1: 1}
+
+
+def test_equal_lines_are_sorted_as_one(spark):
+    df = spark.range(100_003).selectExpr("if(id < 100000, 'a', 'b') as value")
+    got = ops.map_reduce(df, "cat", "uniq -c | sed 's/^ *//'", partitions=2)
+    assert sorted(r.value for r in got.collect()) == ["100000 a", "3 b"]
+    assert "HashAggregate" in got._jdf.queryExecution().executedPlan().toString()

@@ -27,11 +27,13 @@ def pipe(df: DataFrame, command: str, by: Column | str | None = None) -> DataFra
 def map_reduce(df: DataFrame, mapper: str, reducer: str, by: Column | str | None = None, partitions: int | None = None) -> DataFrame:
     """(value): the lines of a reducing command that gets a mapping command's lines, sorted, all of one key in one run.
 
-    A line's key is what stands before its first tab.
+    A line's key is what stands before its first tab. Equal lines are counted, sorted as one, and written out as often as
+    they come, so what a key's task holds grows with its different lines.
     """
-    mapped = pipe(df, mapper, by).withColumn("key", F.substring_index("value", "\t", 1))
+    mapped = pipe(df, mapper, by).groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.substring_index("value", "\t", 1))
     dealt = mapped.repartition(partitions, "key") if partitions else mapped.repartition("key")
-    return pipe(dealt.sortWithinPartitions("key", "value").select("value"), reducer)
+    lines = dealt.sortWithinPartitions("key", "value").select("value", "n")
+    return lines.mapInArrow(lambda batches: _run(batches, reducer), "value string")
 
 
 def _run(batches: Iterator[pa.RecordBatch], command: str, size: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -42,7 +44,15 @@ def _run(batches: Iterator[pa.RecordBatch], command: str, size: int = 10_000) ->
         try:
             with running.stdin as to:
                 for b in batches:
-                    to.write("".join(f"{x}\n" for x in b.column(0).to_pylist()).encode())
+                    if b.num_columns == 1:
+                        to.write("".join(f"{x}\n" for x in b.column(0).to_pylist()).encode())
+                        continue
+                    for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):  # a line and how often it comes
+                        line = f"{x}\n".encode()
+                        at_once = max(1, (1 << 16) // len(line))
+                        for _ in range(n // at_once):
+                            to.write(line * at_once)
+                        to.write(line * (n % at_once))
         except BrokenPipeError:  # the command has read enough
             return
         except BaseException as e:
