@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from viewflow import operators as ops
 from viewflow import queries, recipes, sources, streaming
 from viewflow.functions import words
 from viewflow.operators import ReduceTo, ReduceToCount, ReduceToSum
@@ -336,3 +337,28 @@ def test_an_intersection_makes_only_pairs_that_are_there(spark, tmp_path):
     got = queries.pair_intersection(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0), (2, 0)]
     assert not re.search(r"\[p_size#\d+\], \[s_nationkey#\d+\]", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_vectors_are_made_where_their_documents_are(spark):
+    rng = random.Random(5)
+    rows = [(k % 37, " ".join(rng.choice("abcdefghijklmnop") * rng.choice([1, 2]) for _ in range(rng.randint(0, 9)))) for k in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(r.doc, r.term): r.weight for r in recipes.tfidf(df).collect()}
+    for common in (1, 10):  # some terms' frequencies, or nearly all, are joined instead of looked up
+        got = {(r.doc, r.term): r.weight for r in recipes.tfidf(df, common=common).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (recipes.tfidf(df), recipes.soft_join(df, df, "doc_id", "doc_id", least=0.3))]
+    assert all("Exchange hashpartitioning" not in p.split("InMemoryRelation")[0] for p in plans)  # nothing is dealt again
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_soft_joins_broadcast_or_not(spark, monkeypatch, small):
+    df = spark.createDataFrame([(k, " ".join("abcdefgh"[k % 5 : k % 7 + 2])) for k in range(30)], "doc_id long, text string")
+    vectors = {}
+    for r in recipes.vectors.relation_vectors(df, "doc_id", "text").collect():
+        vectors.setdefault(r.doc, {})[r.term] = r.tf * r.weight
+    if not small:
+        monkeypatch.setattr(ops.sideviews, "measured", lambda side, *_: (side, False))
+    want = {(a, b): s for a, x in vectors.items() for b, y in vectors.items() if (s := sum(x[t] * y[t] for t in x.keys() & y.keys())) > 0.3}
+    got = {(r.doc1, r.doc2): r.sim for r in recipes.soft_join(df, df, "doc_id", "doc_id", least=0.3).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
