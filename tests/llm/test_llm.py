@@ -22,6 +22,7 @@ from viewflow.llm.decontamination import Filter, align, contaminated, without_co
 from viewflow.llm.license_scan import NOTICES, PHRASES, license_scan
 from viewflow.llm.lm_scoring import fit_model, score_documents
 from viewflow.llm.packing import Ranges, hilbert_key, pack_sequences
+from viewflow.llm import quality_classifier as quality_module
 from viewflow.llm.quality_classifier import fit_classifier, quality_classifier
 from viewflow.llm.quality_rules import Condition, fit_quality_rules, learn_rules, quality_rules
 from viewflow.llm.simhash_dedup import block_masks, close_pairs, fingerprint, links, near_duplicates, simhash_components, without_near_duplicates
@@ -801,3 +802,19 @@ def test_words_of_every_length():
     flat = [t for x in texts for t in x.split()]
     for got in (w.hashes(), *w.digests(np.arange(len(flat)))):
         assert len(set(got.tolist())) == len(set(flat)) == len(set(zip(flat, got.tolist(), strict=True)))
+
+
+def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
+    docs = spark.range(30_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'good words here', 'BAD 1 2') as text")
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast((id + 1) % 2 as int) as quality")
+    seen, fit = [], quality_module.fit_ranking
+    monkeypatch.setattr(quality_module, "fit_ranking", lambda table, **more: seen.append(table.count()) or fit(table, **more, rounds=3))
+    ranking = fit_classifier(docs, labels)
+    assert seen == [labels.where(~quality_module.held_out()).count()] and seen[0] > 20_000
+    table = with_statistics(docs.limit(400)).selectExpr("*", "cast((doc_id + 1) % 2 as int) as _label")
+    bounds = quality_module._bounds(table, 24)
+    blocks = quality_module._blocks(table, bounds)
+    sums = quality_module._sums(blocks, [np.arange(len(b) + 1) / 7 for b in bounds], 32, True).sum(axis=1)
+    assert sums[:, 0].tolist() == pytest.approx([200, 200]) and sums[:, 1:].sum(axis=1).tolist() == pytest.approx([2000, 2000])
+    got = {r.text: r.s for r in with_statistics(docs.limit(2)).withColumn("s", ranking.score()).collect()}
+    assert got["good words here"] >= 0.7 > got["BAD 1 2"]

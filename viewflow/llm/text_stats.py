@@ -76,6 +76,19 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in kept], f"{p}.*")
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None = None) -> DataFrame:
+    """(doc_id, text, _label) of every labelled id, with ``label`` as 0 or 1; of an id's texts the one of smallest hash.
+
+    Null ids and null labels are no labels; an id labelled more than once takes the majority, 1 on a tie.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    known = known.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("_label"))
+    if learn is not None:
+        known = known.where(learn)
+    found = docs.select("doc_id", "text").join(known, "doc_id")
+    return found.groupBy("doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> DataFrame:
     """(doc_id, text, _label, _order) of at most ``rows`` labelled ids, with ``label`` as 0 or 1.
 
