@@ -1,6 +1,7 @@
 """The text operators against brute force on sf0.001, and on tables of odd rows."""
 
 import hashlib
+import inspect
 import re
 import string
 import zlib
@@ -818,3 +819,21 @@ def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
     assert sums[:, 0].tolist() == pytest.approx([200, 200]) and sums[:, 1:].sum(axis=1).tolist() == pytest.approx([2000, 2000])
     got = {r.text: r.s for r in with_statistics(docs.limit(2)).withColumn("s", ranking.score()).collect()}
     assert got["good words here"] >= 0.7 > got["BAD 1 2"]
+
+
+def test_network_sees_every_position(spark, monkeypatch):
+    from viewflow.llm import lm_scoring
+    from viewflow.llm.shared import map_arrow
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 17}" for j in range(k))) for k in range(40)] + [(99, None)], "doc_id long, text string")
+    rounds, settings = [], inspect.signature(fit_model).parameters
+    monkeypatch.setattr(lm_scoring, "_round", lambda rows, network, shards, masked, turn, rate: rounds.append((rows, masked, turn)) or network)
+    network = fit_model(docs, classes=6, per_class=8).network
+    assert [x[1:] for x in rounds] == [(settings["masked"].default, k) for k in range(settings["masked"].default)]
+
+    def count(batches, masked, turn):
+        for _, _, _, words in lm_scoring._texts(batches):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(lm_scoring._masked(words, network, masked, turn)[0])], pa.int64())})
+
+    seen = [map_arrow(rows, lambda b, m=m, k=k: count(b, m, k), "n long").groupBy().sum().first()[0] for rows, m, k in rounds]
+    assert sum(seen) == sum(range(40)) and min(seen) > 0

@@ -6,9 +6,9 @@ softmax over the words of the class. All other words are one more class, within
 the whole corpus, and one share is left for words that the corpus doesn't have; so the probabilities of all words sum
 to one. A document's score sums the logarithms over all of its words.
 
-Words are counted over all documents in Spark, and the counts stay distributed: scoring joins them. Training masks a
-share of all positions, as many more as the corpus is larger; the windows around them are dealt out to shards by a hash
-of their words, so that nothing depends on how the input is split. On each shard numpy trains a copy of the network,
+Words are counted over all documents in Spark, and the counts stay distributed: scoring joins them. Training predicts
+every position of all texts once, a share of them in each round; texts are dealt out to shards by a hash of text and id and
+sorted there, so that nothing depends on how the input is split. On each shard numpy trains a copy of the network,
 and the copies are averaged in a tree of bounded fan-in. What is broadcast and collected is the known words and the
 network, whose sizes are parameters.
 """
@@ -192,8 +192,9 @@ def count_words(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit_model(docs: DataFrame, *, classes: int = 64, per_class: int = 64, rest: int = 256, dims: int = 12, hidden: int = 24, rounds: int = 2, masked: int = 16, shard_windows: int = 1 << 19, rate: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> LanguageModel:
-    """A model of all texts of ``docs``; one word in ``masked`` is predicted in each round, another one each time.
+def fit_model(docs: DataFrame, *, classes: int = 64, per_class: int = 64, rest: int = 256, dims: int = 12, hidden: int = 24, rounds: int = 2, masked: int = 2, shard_windows: int = 1 << 19, rate: float = 0.1, id_column: str = "doc_id", text_column: str = "text") -> LanguageModel:
+    """A model of all texts of ``docs``; one word in ``masked`` is predicted in each round, another one each time; by
+    default all are after the last round.
 
     The ``classes * per_class`` most frequent words are known ones. Null and empty texts have no words; without any
     word the model is that of an empty corpus, under which every word is one that it doesn't have.
@@ -219,55 +220,60 @@ def fit_model(docs: DataFrame, *, classes: int = 64, per_class: int = 64, rest:
     }
     network = Network(hashes[order], order, rest, net)
     if rounds and total:
-        windows, _ = write_table(_windows(rows, network, masked, rounds), "windows")
+        shards = -(-total // (masked * shard_windows))
         for k in range(rounds):
-            network = _round(windows.where(F.col("round") == k), network, shard_windows, rate / (k + 1))
+            network = _round(rows, network, shards, masked, k, rate / (k + 1))
     return LanguageModel(network, counts, other, distinct - len(n))
 
 
-def _windows(rows: DataFrame, network: Network, masked: int, rounds: int) -> DataFrame:
-    """(round, key, w0 .. w3, target): the masked positions of all rounds. Which ones follows from the words there."""
+def _masked(words: Words, network: Network, masked: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, windows and targets) of one round's positions. Which ones follows from the words there."""
+    hashes, first = words.hashes(), words.first
+    place = np.arange(len(hashes)) - first[row_numbers(first)]
+    before = np.concatenate((np.zeros(1, U), hashes))[:-1] * (place > 0)
+    key = mix(hashes ^ mix(before + place.astype(U)))
+    at = np.flatnonzero(key % U(masked) == U(turn))
+    numbers = network.numbers(hashes)
+    return key[at], np.column_stack((network.windows(numbers, first, at), numbers[at].astype(np.int32)))
 
-    def read(batches):
-        for _, _, _, words in _texts(batches):
-            hashes, first = words.hashes(), words.first
-            place = np.arange(len(hashes)) - first[row_numbers(first)]
-            before = np.concatenate((np.zeros(1, U), hashes))[:-1] * (place > 0)
-            key = mix(hashes ^ mix(before + place.astype(U)))
-            turn = (key % U(masked)).astype(np.int64)
-            at = np.flatnonzero(turn < rounds)
-            numbers = network.numbers(hashes)
-            around = network.windows(numbers, first, at)
-            columns = [pa.array(turn[at].astype(np.int32)), pa.array(key[at].view(np.int64)), *[pa.array(np.ascontiguousarray(around[:, k])) for k in range(len(OFFSETS))], pa.array(numbers[at].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["round", "key", "w0", "w1", "w2", "w3", "target"])
-
-    return map_arrow(rows, read, "round int, key long, w0 int, w1 int, w2 int, w3 int, target int")
-
-
-def _round(windows: DataFrame, network: Network, shard_windows: int, rate: float, step: int = 1024) -> Network:
-    """The average of the copies that the shards train, each weighted by its windows."""
-    shards = -(-windows.count() // shard_windows)
-    if not shards:
-        return network
-    dealt = windows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    columns = ["key", "w0", "w1", "w2", "w3", "target"]
-    sorted_ = dealt.repartitionById(shards, F.col("shard")).select("shard", *columns).sortWithinPartitions("shard", *columns)
+
+def _round(rows: DataFrame, network: Network, shards: int, masked: int, turn: int, rate: float, step: int = 1024, mixed: int = 1 << 16) -> Network:
+    """The average of the copies that the shards train, each weighted by its windows. A shard's windows are taken by the
+    order of their keys within ``mixed`` at a time, so that a step's come from many texts."""
+    hashed = rows.where("text is not null").withColumn("key", F.xxhash64("text", "doc_id"))  # copies of a text go to many shards
+    dealt = hashed.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    sorted_ = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "doc_id", "text").select("shard", "text")
+    shared = rows.sparkSession.sparkContext.broadcast(network)
 
     def train(batches):
-        own, left, seen, shard, n = copy.deepcopy(network), [], {k: np.zeros_like(v) for k, v in network.net.items()}, 0, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            shard = b.column("shard")[0].as_py()
-            left.append(np.stack([b.column(c).to_numpy() for c in columns[1:]], axis=1))
-            held = np.concatenate(left)
-            for a in range(0, len(held) - step + 1, step):
-                own.train(held[a : a + step, :4], held[a : a + step, 4], seen, rate)
-            n, left = n + b.num_rows, [held[len(held) // step * step :]]
+        own = copy.deepcopy(shared.value)
+        seen, shard, n = {k: np.zeros_like(v) for k, v in own.net.items()}, 0, 0
+        keys, held, waiting = [], [], 0
+
+        def take(least):
+            nonlocal keys, held, waiting
+            key, rows = np.concatenate(keys), np.concatenate(held)
+            for a in range(0, len(key), mixed):
+                if len(key) - a < least:
+                    keys, held, waiting = [key[a:]], [rows[a:]], len(key) - a
+                    return
+                part = rows[a : a + mixed][np.argsort(key[a : a + mixed], kind="stable")]
+                for c in range(0, len(part), step):
+                    own.train(part[c : c + step, :4], part[c : c + step, 4], seen, rate)
+            keys, held, waiting = [], [], 0
+
+        for batch, _, _, words in _texts(batches):
+            shard = batch.column("shard")[0].as_py()
+            key, rows = _masked(words, own, masked, turn)
+            keys.append(key)
+            held.append(rows)
+            n, waiting = n + len(key), waiting + len(key)
+            if waiting >= mixed:
+                take(mixed)
         if not n:
             return
-        if len(left[0]):
-            own.train(left[0][:, :4], left[0][:, 4], seen, rate)
+        if waiting:
+            take(0)
         flat = np.concatenate([own.net[k].ravel() for k in NAMES]).astype(np.float64) * n
         for k, a in enumerate(range(0, len(flat), _CHUNK)):
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "chunk": pa.array([k], pa.int32()), "weight": [n], "sums": pa.array([flat[a : a + _CHUNK].tobytes()], pa.binary())})
