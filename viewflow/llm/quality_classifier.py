@@ -25,6 +25,9 @@ from .shared import map_arrow, remove, write_table
 from .text_stats import FEATURES, labelled_rows, with_statistics
 
 
+_TASKS = 64
+
+
 @dataclass(frozen=True)
 class Ranking:
     """Steps (feature, bound, weight gained at or above it), the threshold strength and the score it stands for."""
@@ -102,15 +105,10 @@ def _sums(blocks: DataFrame, weights: list[np.ndarray], cells: int, by_bin: bool
                     for k in range(len(weights) if by_bin else 0):
                         n = len(weights[k])
                         total[int(good), :, 1 + starts[k] : 1 + starts[k + 1]] += np.bincount(at * n + rows[:, k], share, cells * n).reshape(cells, n)
-        flat = total.ravel()
-        for a in range(0, len(flat), 1 << 14):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([a], pa.int64()), "sums": pa.array([flat[a : a + (1 << 14)].tobytes()], pa.binary())})
-
-    def merge(table):
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "sums": pa.array([sum(np.frombuffer(x) for x in sorted(table.column("sums").to_pylist())).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
-    parts = map_arrow(blocks, add, "chunk long, sums binary").groupBy("chunk").applyInArrow(merge, "chunk long, sums binary").collect()
-    return np.concatenate([np.frombuffer(r.sums) for r in sorted(parts, key=lambda r: r.chunk)]).reshape(2, cells, columns)
+    parts = sorted(r.sums for r in map_arrow(blocks, add, "sums binary").collect())  # one for each of at most _TASKS tasks
+    return sum(np.frombuffer(x) for x in parts).reshape(2, cells, columns)
 
 
 def _range(weights: list[np.ndarray]) -> tuple[float, float]:
@@ -126,6 +124,7 @@ def fit_ranking(table: DataFrame, *, cut: float = 0.7, bins: int = 24, rounds: i
         return Ranking((), 0.0 if 1 in kinds or not kinds else 1.0, cut)
     bounds = _bounds(table, bins)
     blocks, path = write_table(_blocks(table, bounds), "statistics")
+    blocks = blocks.coalesce(min(_TASKS, -(-sum(kinds.values()) // (1 << 18))))
     sizes = [len(b) for b in bounds]
     ends = np.cumsum([0, *sizes])
     gains = lambda w: [np.concatenate(([0.0], np.cumsum(w[a:b]))) for a, b in itertools.pairwise(ends)]
