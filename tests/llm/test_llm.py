@@ -837,3 +837,58 @@ def test_network_sees_every_position(spark, monkeypatch):
 
     seen = [map_arrow(rows, lambda b, m=m, k=k: count(b, m, k), "n long").groupBy().sum().first()[0] for rows, m, k in rounds]
     assert sum(seen) == sum(range(40)) and min(seen) > 0
+
+
+def plain_step(net, seen, windows, targets, rate, per_class):
+    """A step from the definition: gradients of the mean of -log p, class by class, and rates that fall with their squares."""
+    classes, n = len(net["inner"]), len(targets)
+    softmax = lambda z: np.exp(z - z.max(axis=1, keepdims=True)) / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+    x = net["embed"][windows].reshape(n, -1)
+    h = np.tanh(x @ net["hidden"] + net["hidden_bias"])
+    own = np.minimum(targets // per_class, classes)
+    p = (softmax(h @ net["out"] + net["out_bias"]) - np.eye(classes + 1)[own]) / n
+    change = {k: np.zeros(v.shape) for k, v in net.items()}
+    change["out"], change["out_bias"], back = h.T @ p, p.sum(axis=0), p @ net["out"].T
+    for c in set(own.tolist()) - {classes}:
+        rows = np.flatnonzero(own == c)
+        q = (softmax(h[rows] @ net["inner"][c] + net["inner_bias"][c]) - np.eye(per_class)[targets[rows] % per_class]) / n
+        change["inner"][c], change["inner_bias"][c] = h[rows].T @ q, q.sum(axis=0)
+        back[rows] += q @ net["inner"][c].T
+    back *= 1 - h * h
+    change["hidden"], change["hidden_bias"] = x.T @ back, back.sum(axis=0)
+    np.add.at(change["embed"], windows.ravel(), (back @ net["hidden"].T).reshape(4 * n, -1))
+    for k, v in change.items():
+        seen[k] += v * v
+        net[k] -= rate * v / (np.sqrt(seen[k]) + 1e-6)
+
+
+@pytest.mark.parametrize("far", [0, 200])
+def test_training_steps_are_those_of_the_definition(far):
+    from viewflow.llm.lm_scoring import Descent, Network
+
+    rng, classes, per_class, rest, dims, hidden = np.random.default_rng(4), 64, 64, 16, 12, 24
+    shapes = {"embed": (classes * per_class + rest + 1, dims), "hidden": (4 * dims, hidden), "hidden_bias": (hidden,), "out": (hidden, classes + 1), "out_bias": (classes + 1,), "inner": (classes, hidden, per_class), "inner_bias": (classes, per_class)}
+    net = {k: (rng.standard_normal(v) * 0.3).astype(np.float32) for k, v in shapes.items()}
+    net["out_bias"] += far  # powers of e beyond the range of float
+    net["inner_bias"] -= far
+    net["inner_bias"][5, 9] = -1e4
+    windows, targets = rng.integers(0, classes * per_class + rest + 1, (2500, 4)), np.minimum(rng.zipf(1.2, 2500) - 1, classes * per_class + rest - 1)
+    own, plain, seen = Descent(Network(np.zeros(0, np.uint64), np.zeros(0, int), rest, net), 0.1), {k: v.astype(float) for k, v in net.items()}, {k: np.zeros(v.shape) for k, v in net.items()}
+    own.steps(windows.astype(np.int32), targets.astype(np.int32), 1024)
+    for a in range(0, 2500, 1024):
+        plain_step(plain, seen, windows[a : a + 1024], targets[a : a + 1024], 0.1, per_class)
+    for k, v in own.net().items():
+        assert v.shape == shapes[k] and np.allclose(v, plain[k], rtol=1e-4, atol=2e-3), k
+        assert np.mean(np.abs(v - plain[k])) < 1e-5 * max(1, np.abs(plain[k]).max()), k
+
+
+def test_scores_do_not_depend_on_the_words_looked_up(spark, docs):
+    models = [fit_model(docs, **SMALL, rounds=0, looked_up=n) for n in (0, 300, 1 << 18)]
+    sizes = [len(m.common[0]) for m in models]
+    assert sizes[0] == 0 and 0 < sizes[1] <= 300 < sizes[2] == models[2].other_words
+    counts = {r.word: r.n for r in models[0].counts.collect()}
+    assert all(counts[int(w)] == n for w, n in zip(models[1].common[0].view(np.int64), models[1].common[1], strict=True))
+    a, *more = ({r.doc_id: r.log_likelihood for r in score_documents(docs, m).collect()} for m in models)
+    assert all(b == pytest.approx(a, rel=1e-9) for b in more)
+    unseen = score_documents(spark.createDataFrame([(1, "zzqx yyqx")], "doc_id long, text string"), models[2]).first()
+    assert unseen.n_tokens == 2 and np.isfinite(unseen.log_likelihood)
