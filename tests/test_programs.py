@@ -2,10 +2,12 @@
 
 import csv
 import io
+import itertools
 import math
 import random
 import re
 import tempfile
+from collections import Counter
 from functools import partial
 from pathlib import Path
 
@@ -362,3 +364,38 @@ def test_soft_joins_broadcast_or_not(spark, monkeypatch, small):
     want = {(a, b): s for a, x in vectors.items() for b, y in vectors.items() if (s := sum(x[t] * y[t] for t in x.keys() & y.keys())) > 0.3}
     got = {(r.doc1, r.doc2): r.sim for r in recipes.soft_join(df, df, "doc_id", "doc_id", least=0.3).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def plain_ranks(edges, rounds):
+    nodes = {a for a, _ in edges}
+    degree, ranks = Counter(a for a, _ in edges), dict.fromkeys(nodes, 1.0)
+    for _ in range(rounds):
+        sums = {}
+        for a, b in edges:
+            if a is not None and a in ranks and b in nodes and b is not None:
+                sums[b] = sums.get(b, 0.0) + ranks[a] / degree[a]
+        ranks = {b: 0.15 + 0.85 * x for b, x in sums.items()}
+    return ranks
+
+
+def test_pagerank_shuffles_its_links_once(spark, request):
+    edges = [(f"n{k * k % 23}", f"n{k * 7 % 31}") for k in range(60)] + [("n1", "n4")] * 3 + [("n2", None), (None, "n2"), (None, None), ("n0", "n0")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    for rounds in range(5):
+        got = dict(map(tuple, recipes.pagerank(df, rounds=rounds, every=2).collect()))
+        want = plain_ranks(edges, rounds)
+        assert got.keys() == want.keys() and all(math.isclose(got[k], x) for k, x in want.items()), rounds
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = recipes.pagerank(df, rounds=3)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    outside, at = [], 0
+    while at < len(plan):
+        outside.append(plan[at])
+        inside = list(itertools.takewhile(lambda line: depth(line) > depth(outside[-1]), plan[at + 1 :])) if "InMemoryRelation" in plan[at] else []
+        if inside:
+            first = inside[next((k for k, line in enumerate(inside) if "Initial Plan" in line), 0) :]
+            assert sum("Exchange" in line for line in first) == 1 and not any("Join" in line for line in first)
+        at += 1 + len(inside)
+    count = lambda name: sum(name in line for line in outside)
+    assert count("InMemoryRelation") == 4 and count("Join") == count("Sort [") == 3  # links are sorted already

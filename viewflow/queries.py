@@ -537,8 +537,9 @@ _ROUND = "r{0} AS (SELECT dst AS node, 0.15::DOUBLE + 0.85::DOUBLE * sum(rank /
 
 @query(f"WITH {_EDGES}, l AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e), r0 AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS rank FROM e), {', '.join(_ROUND.format(k + 1, k) for k in range(3))} SELECT node, round(rank, 6) AS rank FROM r3")
 def pagerank(s, d):
-    pairs = table(s, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
-    edges = ops.union(pairs, pairs.select("dst", "src"))
+    keys = ops.distinct(table(s, d, "lineitem").select("l_partkey", "l_suppkey"))
+    pairs = keys.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    edges = pairs.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))  # no pair is the reverse of another
     return recipes.pagerank(edges, rounds=3).withColumn("rank", F.round("rank", 6))
 
 
