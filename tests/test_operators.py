@@ -243,6 +243,23 @@ def test_products_of_frequent_keys_are_dealt_out(spark):
     assert got.agg(F.countDistinct("_2.b"), F.countDistinct("_3.c"), F.min("_1.name"), F.count("_3.c"), F.max("_3.k")).first()[:] == (3000, 2499, "x", 7_497_000, None)
 
 
+def _made_by_explodes(plan):
+    below = [n for k in range(plan.children().size()) for n in _made_by_explodes(plan.children().apply(k))]
+    return below + ([plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else [])
+
+
+def test_a_product_is_handed_on_as_it_is_made(spark):
+    a, b, c = (spark.range(n).selectExpr("cast(null as int) as k", f"id as {v}") for n, v in ((2, "a"), (3000, "b"), (2500, "c")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        first = ops.join(JoinInput(a, "k"), JoinInput(b, "k"), JoinInput(c, "k")).select("_1.a", "_2.b", "_3.c").limit(1)
+        assert len(first.collect()) == 1
+        made = _made_by_explodes(first._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(made) == 3 and 0 < max(made) < 2000  # a block's rows or two, not blocks multiplied
+
+
 def test_copies_of_an_intersection_are_dealt_out(spark):
     a, b = spark.range(700).selectExpr("if(id < 699, null, 1L) as k", "'x' as v"), spark.range(500).selectExpr("if(id < 498, null, id - 497L) as k", "'x' as v")
     got = ops.intersection_bag(a, b)
